@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
+from . import neardup, quality, tokenfile
 from .common import table
 
 
@@ -14,7 +14,26 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn_rules(quality.labelled(docs, table(spark, sf_dir, "labels")))
+    return quality.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _vocabulary(file: str) -> str:
+    """Vocabulary files are never copied here; the installed folder of public tokenizers has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(file)
+
+
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op8_token_shards": op8_token_shards,
+    "op10_quality_rules": op10_quality_rules,
     "op4_simhash_dedup": op4_simhash_dedup,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality, tokenfile
+from . import neardup, quality, substrings, tokenfile
 from .common import table
 
 
@@ -31,7 +31,13 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op8_token_shards": op8_token_shards,
     "op10_quality_rules": op10_quality_rules,
     "op4_simhash_dedup": op4_simhash_dedup,

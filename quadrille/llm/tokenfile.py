@@ -21,20 +21,33 @@ from .eliasfano import EliasFano
 _HEAD = struct.Struct("<4sB3xQQ")
 #: A single space between two characters that aren't white space: no token of a byte-level BPE spans its left side.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces kept in a worker's cache, about 100 MB.
-CACHE = 300_000
+#: Pieces kept in a worker's cache, about 150 MB.
+CACHE = 700_000
 #: Bytes of ids read at once.
 READ = 8 << 20
 
 
+class _Numbers(dict):
+    """Piece -> its number; a new piece gets the next one and waits in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library, the ids of each piece between spaces being kept.
 
-    The vocabulary's pattern lets a space stand only at the start of a token, and a
-    single space between non-spaces always starts one; so a text's ids are those of
-    its pieces " x" in a row. Pieces that hold other white space at an end, or are
-    empty, are marked; texts with such a piece are cut where both neighbours of a
-    space aren't white space, and these parts encoded.
+    The vocabulary's pattern lets a space stand only at the start of a token, so that a
+    single space between non-spaces always starts one; and a single line end between
+    non-spaces is a token by itself. A text's ids are hence those of its pieces " x" and
+    "\\nx" in a row. Pieces that are empty or have more white space at an end have length
+    -1; texts with such a piece are cut where both neighbours of a space aren't white
+    space, and these parts encoded. New pieces are encoded many at a time, one on a line.
     """
 
     def __init__(self, vocabulary: str):
@@ -43,31 +56,77 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes | None] = {}
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers = _Numbers()
+        self.begins, self.sizes, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, self.kind)
+        self.filled = 0
+
+    def _keep(self, number: int, data: list[bytes | None]) -> None:
+        """Ids of the pieces from ``number`` on; arrays double when they are full."""
+        sizes = np.array([-1 if d is None else len(d) // self.kind.itemsize for d in data], np.int32)
+        ids = np.frombuffer(b"".join(d for d in data if d), self.kind)
+        while number + len(data) > len(self.sizes):
+            self.begins, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.sizes))
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        held = np.maximum(sizes, 0)
+        self.sizes[number : number + len(data)] = sizes
+        self.begins[number : number + len(data)] = self.filled + np.cumsum(held) - held
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, none of which has a line end, from one text with a part on each line."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 2048):
+            some = parts[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            cut = np.flatnonzero(ids == self.line).tolist()
+            if len(cut) != len(some) - 1:
+                out += self._batch(some)
+                continue
+            data, wide = ids.tobytes(), self.kind.itemsize
+            out += [data[a * wide : b * wide] for a, b in zip([0, *(c + 1 for c in cut)], [*cut, len(ids)])]
+        return out
+
+    def _learn(self, first: int, new: list[str]) -> None:
+        edges_ok = lambda x: x and not x[0].isspace() and not x[-1].isspace()
+        line = np.array([self.line], self.kind).tobytes()
+        data: list[bytes | None] = [None] * len(new)
+        spaced = [i for i, p in enumerate(new) if p[:1] != "\n" and edges_ok(p)]
+        for i, x in zip(spaced, self._lines([" " + new[i] for i in spaced])):
+            data[i] = x
+        lined = [i for i, p in enumerate(new) if p[:1] == "\n" and edges_ok(p[1:])]
+        for i, x in zip(lined, self._lines([new[i][1:] for i in lined])):
+            data[i] = line + x
+        self._keep(first, data)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``kind``."""
-        pieces = [t.split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = set().union(*pieces).difference(self.known) if pieces else set()
-        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._batch([" " + p for p in plain])))
-        known, out = self.known, []
-        heads = self._batch([p[0] for p in pieces])
-        for text, head, parts in zip(texts, heads, pieces):
-            try:
-                ids = head + b"".join([known[p] for p in parts[1:]])
-                if parts[0][-1:].isspace():
-                    raise TypeError
-            except TypeError:
+        if len(self.numbers) > CACHE:
+            self._clear()
+        first = len(self.numbers)
+        get = self.numbers.__getitem__
+        pieces = [np.array(list(map(get, ("\n" + t).replace("\n", " \n").split(" ")[1:])), np.int64) for t in texts]
+        if self.numbers.new:
+            self._learn(first, self.numbers.new)
+            self.numbers.new = []
+        out = []
+        for text, parts in zip(texts, pieces):
+            sizes = self.sizes[parts]
+            if sizes.min() < 0:
                 cut = _CUT.split(text)
-                ids = b"".join(self._batch([cut[0]] + [" " + c for c in cut[1:]]))
-            out.append(ids)
+                out.append(b"".join(self._batch([cut[0]] + [" " + c for c in cut[1:]])))
+                continue
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.begins[parts] - ends + sizes, sizes) + np.arange(ends[-1])
+            out.append(self.ids[at[1:]].tobytes())  # without the line end put before the text
         return out
 
 

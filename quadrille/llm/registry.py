@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, neardup, quality, secrets, substrings, tokenfile, toxicity
+from . import licenses, neardup, pieces, quality, secrets, substrings, tokenfile, toxicity
 from .common import table
 
 
+def _vocabulary(file: str) -> str:
+    """Vocabulary files are never copied here; the installed folder of public tokenizers has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(file)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -20,13 +27,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _vocabulary(file: str) -> str:
-    """Vocabulary files are never copied here; the installed folder of public tokenizers has them."""
-    import public_tokenizers
-
-    return public_tokenizers.path(file)
-
-
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -56,12 +56,18 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(_vocabulary("piece_bpe_32k.model")))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op7_sentencepiece": op7_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, neardup, pieces, quality, secrets, substrings, tokenfile, toxicity
+from . import licenses, mixing, neardup, pieces, quality, secrets, substrings, tokenfile, topk, toxicity
 from .common import table
 
 
@@ -31,6 +31,19 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+#: Target weights of the query: by name, and 1 for every other source.
+WEIGHTS = {"src0": 4.0, "src1": 2.0}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"), WEIGHTS)
+    return found.select("doc_id", "source", "copy", "place", "text")
+
+
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.scored(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -67,6 +80,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_top_k": op2_top_k,
     "op7_sentencepiece": op7_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op5_secret_scan": op5_secret_scan,
@@ -77,4 +92,23 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": """
+        WITH sized AS (SELECT source, sum(coalesce(length(text), 0) + 1)::DOUBLE AS size, max(CASE source WHEN 'src0' THEN 4.0 WHEN 'src1' THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight FROM documents GROUP BY source),
+        rated AS (SELECT source, weight / sum(weight) OVER () * sum(size) OVER () / size AS rate FROM sized),
+        steps AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 24)::BIGINT + 1)) AS k FROM rated),
+        cdf AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END)) OVER (PARTITION BY source ORDER BY k) AS c FROM steps),
+        draws AS (SELECT doc_id, source, text, ('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+        times AS (SELECT d.doc_id, d.source, d.text, count(*) AS n FROM draws d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u GROUP BY ALL),
+        copies AS (SELECT doc_id, source, unnest(range(1, n + 1))::INTEGER AS copy, text FROM times)
+        SELECT doc_id, source, copy, ('0x' || substr(md5('0:place:' || doc_id || ':' || copy), 1, 13))::BIGINT AS place, text FROM copies
+    """,
+    "op2_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2]))::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+}

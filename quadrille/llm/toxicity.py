@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -149,10 +150,16 @@ def train(rows: list[tuple[str | None, str | None, int]], rate: float | None = N
         net.out[:] = 0
         net.shift = 4.0 if len(rows) and labels[0] else -4.0
         return net
-    texts = [words_of(r[0]) for r in rows]
-    vocabulary = sorted(set().union(*texts))
-    number = {w: k + 1 for k, w in enumerate(vocabulary)}  # 0: the pad
-    docs = [np.fromiter((number[w] for w in ws), np.int64, len(ws)) for ws in texts]
+    number: dict[bytes, int] = {}  # 0 is the pad
+    docs = [np.fromiter((number.setdefault(w, len(number) + 1) for w in words_of(r[0])), np.int32) for r in rows]
+    sizes, parts = [1], array("i", [0])
+    for w in number:
+        own = grams(w)
+        sizes.append(len(own))
+        parts.extend(own)
+    buckets, sizes = np.frombuffer(parts, np.int32), np.array(sizes, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    del number
     held = np.arange(len(rows)) % 5 == 4
     if not 0 < labels[~held].sum() < (~held).sum():
         held[:] = False
@@ -160,10 +167,6 @@ def train(rows: list[tuple[str | None, str | None, int]], rate: float | None = N
     todo = np.flatnonzero(~held)
     share = labels[todo].mean()
     weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    lists = [[]] + [grams(w) for w in vocabulary]
-    sizes = np.array([max(1, len(x)) for x in lists], np.int64)
-    buckets = np.fromiter((b for x in lists for b in x or [0]), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
     flat_filters = lambda: net.filters.transpose(1, 0, 2).reshape(DIM, -1)
     squares = {k: np.full_like(getattr(net, k), 1e-8) for k in ("table", "filters", "bias", "out")}
     shift, shift_square = 0.0, 1e-8
@@ -255,7 +258,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(x.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (2000, 3000), label: str = "toxic") -> Network:
+def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (1500, 2000), label: str = "toxic") -> Network:
     """A network from at most ``sample`` rows of label 1 and of label 0, those with the smallest hashed doc_id.
 
     Only rows that aren't held out take part. The bound holds for the ids that are

@@ -15,18 +15,20 @@ SYMBOLS, WINDOW = r"[#*$%&|<>]", 5
 FEATURES = ("n_words", "mean_word_chars", "longest_word", "symbols_per_word", "dup_line_share", "repeat_word_share", "distinct_word_share", "upper_share", "digit_share", "exclaim_per_word")
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and ``FEATURES``), one for each row.
 
-    Null texts count as empty. Everything is a row's own expression, without a shuffle.
+    carry: the row itself goes along as the struct ``row``. Null texts count as empty. Everything is a row's own expression, without a shuffle.
     Windows are found by hashes of their words' hashes: sorted with their places, equal
     neighbours are repeats; the words they cover are summed from the gaps between places.
     Each step's array is a column of its own, so that no lambda computes it again.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *row)
+    row = ["row"] if carry else []
     x = x.select(
-        "doc_id", "text",
+        "doc_id", "text", *row,
         F.filter(F.split("text", _GAPS, -1), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n", -1), lambda s: s.rlike(_WORD)).alias("lines"),
     )
@@ -42,7 +44,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     x = x.withColumn("starts", F.sort_array(F.transform(repeats, lambda v: v["i"])))
     covered = F.transform("starts", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", i + 1) - p, F.lit(WINDOW))))
     x = x.select(
-        "doc_id",
+        "doc_id", *row,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -54,10 +56,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.regexp_count("text", F.lit(r"\p{Lu}")).alias("n_upper"),
         F.regexp_count("text", F.lit("[0-9]")).alias("n_digits"),
         F.regexp_count("text", F.lit("!")).alias("n_exclaims"),
-    )
+    )
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     return x.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *row, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("word_chars", "n_words").alias("mean_word_chars"),
         F.col("longest").cast("double").alias("longest_word"),
         share("n_symbols", "n_words").alias("symbols_per_word"),
@@ -184,7 +186,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", sample:
     return [r.asDict() for r in rows.collect()]
 
 
-def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def judged(docs: DataFrame, rules: list[Rule], carry: bool = False) -> DataFrame:
     """``statistics`` with base_failed and kept (false if base_failed, else the list's verdict)."""
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return statistics(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & keeps(rules))
+    return statistics(docs, carry=carry).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & keeps(rules))
+
+
+def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they are.
+
+    The row number keeps the optimizer from pushing the filter below the statistics,
+    which would write out each of their steps again for every use of it.
+    """
+    marked = judged(docs, rules, carry=True).withColumn("number", F.monotonically_increasing_id())
+    return marked.where("kept and number >= 0").select("row.*")

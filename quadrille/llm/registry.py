@@ -9,7 +9,7 @@ from . import licenses, mixing, neardup, pieces, quality, secrets, substrings, t
 from .common import table
 
 
-def _vocabulary(file: str) -> str:
+def vocabulary_path(file: str) -> str:
     """Vocabulary files are never copied here; the installed folder of public tokenizers has them."""
     import public_tokenizers
 
@@ -28,7 +28,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.token_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return tokenfile.token_digest(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
 #: Target weights of the query: by name, and 1 for every other source.
@@ -70,7 +70,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(_vocabulary("piece_bpe_32k.model")))
+    found = pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(vocabulary_path("piece_bpe_32k.model")))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 

@@ -31,18 +31,18 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float = 1.0, epoc
 
     A document's size is its characters and one for its end. The output has ``epochs``
     times the input's size in expectation, and each source its weight's share of it.
-    A null source is one of its own. Weights must be positive or zero; a zero weight
-    drops its source.
+    A null source is one of its own. A weight of zero drops its source. The sources'
+    sums are written once; the driver takes two totals of them.
     """
     size = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1)
-    groups = docs.groupBy("source").agg(size.alias("size"))
     weight = F.lit(float(default))
     for name, w in weights.items():
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
-    groups = groups.withColumn("weight", weight)
-    totals = groups.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))
-    rate = F.col("weight") / F.col("all_weight") * (F.col("all_size") * F.lit(float(epochs))) / F.col("size")
-    return groups.join(F.broadcast(totals)).select("source", "size", F.when(F.col("all_weight") > 0, rate).otherwise(F.lit(0.0)).alias("rate"))
+    groups, _ = written(docs.groupBy("source").agg(size.alias("size")).withColumn("weight", weight), "sources")
+    total = groups.agg(F.sum("weight").alias("weight"), F.sum("size").alias("size")).first()
+    all_weight, all_size = float(total["weight"] or 0), float(total["size"] or 0)
+    rate = F.col("weight") / F.lit(all_weight) * F.lit(all_size * epochs) / F.col("size") if all_weight else F.lit(0.0)
+    return groups.select("source", "size", rate.alias("rate"))
 
 
 def distributions(table: DataFrame) -> DataFrame:

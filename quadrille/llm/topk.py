@@ -139,7 +139,7 @@ def _scan(batches, block, k: int):
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k highest inner products of every query row with all rows of other ids.
 
-    Vectors that are null or hold a null or non-finite component take no part, nor do
+    Vectors that are null, empty, or hold a null or non-finite component take no part, nor do
     null ids; vectors of different lengths aren't compared. Ties go to the smaller id.
     Equal rows are all candidates; a repeated query id is asked once, with its least
     vector. Scores beyond a long are held at its ends.
@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     segment means and deviations against the best found so far, and scores survivors.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), queries.alias("asked"), integers(vector_col).alias("x")).where("vec_id is not null and x is not null")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), queries.alias("asked"), integers(vector_col).alias("x")).where("vec_id is not null and size(x) > 0")
     asked = rows.where("asked").groupBy("vec_id").agg(F.min("x").alias("x"))
     blocks = max(1, -(-asked.count() // block))
     results = None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import pickle
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,7 +19,11 @@ from .common import written
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
 #: Words whose ids every worker holds: those in the most documents.
-HOT = 500_000
+HOT = 400_000
+#: Distinct words that a task counts before it sends them on.
+COUNTED = 250_000
+#: Partitions of distinct words for each shuffle partition: a word makes about 40 rows of its lattice.
+SPREAD = 4
 #: Code points of a word that fit the bits of a long with both ends; longer ones go by ``merge``.
 BITS = 62
 
@@ -53,8 +58,9 @@ class Vocabulary:
         return cls(normal, tuple(single.get(f"<0x{b:02X}>", model.trainer_spec.unk_id) for b in range(256)), model.trainer_spec.unk_id, model.trainer_spec.model_type == pb.TrainerSpec.UNIGRAM)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score): as many rows as the model file has, which bounds what is broadcast."""
-        return spark.createDataFrame(list(self.pieces), "piece string, id int, score double")
+        """(piece, id, rank by score): as many rows as the model file has, which bounds what is broadcast."""
+        best = sorted(self.pieces, key=lambda p: (-p[2], p[1]))
+        return spark.createDataFrame([(p, i, r) for r, (p, i, _) in enumerate(best)], "piece string, id int, rank int")
 
 
 def words_of(text: str) -> list[str]:
@@ -90,15 +96,15 @@ def _in_words(batches):
 
     def out():
         words = sorted(counts)
-        for at in range(0, len(words), 65536):
-            some = words[at : at + 65536]
+        for at in range(0, len(words), 16384):
+            some = words[at : at + 16384]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([counts[w] for w in some], pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for t in batch.column(0).to_pylist():
-            for w in set(words_of(t or "")):
+        for t in batch.column(0):
+            for w in set(words_of(t.as_py() or "")):
                 counts[w] = counts.get(w, 0) + 1
-            if len(counts) > 600_000:
+            if len(counts) > COUNTED:
                 yield from out()
                 counts.clear()
     yield from out()
@@ -109,76 +115,107 @@ def _chunk(word: Column) -> Column:
     return F.when(F.startswith(word, F.lit("\n")), F.substr(word, F.lit(2))).otherwise(F.concat(F.lit(SPACE), word))
 
 
+#: An edge as one long: rank of its piece by score, start, length (6 bits), id. An id of all ones: no piece, one character.
+_RANK, _START, _LENGTH, _ID = 43, 26, 20, 20
+_NONE = (1 << _ID) - 1
+
+
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``words`` (word, n, chunk, fits) with edges: every substring of a chunk that fits and is a piece, or a single character.
+    """Rows (word, n, edges): every substring of the word's chunk that is a piece, or a single character.
 
     Substrings of bounded length are exploded, met with the piece table by equality, and
-    grouped by word: ``words`` is already dealt by word, so no row moves again.
+    grouped by word: ``words`` (word, n) is already dealt by word, so no row moves again.
+    Edges are longs, in the order of score, then start; chunks that don't fit have none.
     """
-    longest, n = vocabulary.longest, F.length("chunk")
-    sub = lambda s, k: F.struct(s.alias("s"), k.alias("k"), F.substring("chunk", s + 1, k).alias("piece"))
-    subs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - s)), lambda k: sub(s, k))))
-    x = words.select("word", "n", "chunk", "fits", F.explode_outer(F.when(F.col("fits"), subs)).alias("x"))
-    x = x.select("word", "n", "chunk", "fits", F.col("x.s").alias("s"), (F.col("x.s") + F.col("x.k")).alias("e"), F.col("x.piece").alias("piece"))
-    found = x.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left").where("id is not null or e = s + 1 or s is null")
-    raw = F.regexp_extract_all(F.hex(F.encode("piece", "utf-8")), F.lit("(..)"), F.lit(1))
-    by_byte = F.transform(raw, lambda h: F.get(F.array(*map(F.lit, vocabulary.byte_ids)), F.conv(h, 16, 10).cast("int")))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(by_byte)
-    edge = F.struct((-F.coalesce("score", F.lit(-1e12))).alias("cost"), "s", "e", ids.alias("ids"))
-    return found.groupBy("word", "n", "chunk", "fits").agg(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), edge))).alias("edges"))
+    n = F.length("chunk")
+    x = words.select("word", "n", _chunk(F.col("word")).alias("chunk"))
+    x = x.select("word", "n", "chunk", F.explode_outer(F.when(_fits(n, vocabulary), F.sequence(F.lit(0), n - 1))).alias("s"))
+    x = x.select("word", "n", "chunk", "s", F.explode_outer(F.when(F.col("s").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - F.col("s"))))).alias("k"))
+    x = x.select("word", "n", "s", "k", F.substring("chunk", F.col("s") + 1, F.col("k")).alias("piece"))
+    found = x.join(F.broadcast(vocabulary.table(words.sparkSession)), "piece", "left").where("id is not null or k = 1 or s is null")
+    rank = F.coalesce("rank", F.lit(len(vocabulary.pieces))).cast("long")
+    edge = rank * (1 << _RANK) + F.col("s").cast("long") * (1 << _START) + F.col("k").cast("long") * (1 << _LENGTH) + F.coalesce("id", F.lit(_NONE)).cast("long")
+    return found.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def _bit(place: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+def _bits(x: Column, low: int, wide: int) -> Column:
+    return F.shiftright(x, low).bitwiseAND((1 << wide) - 1).cast("int")
 
 
-def _inner(e: Column) -> Column:
-    """Bits of the places strictly within an edge."""
-    return _bit(e["e"]) - 1 - (_bit(e["s"] + 1) - 1)
+def _fits(n: Column, vocabulary: Vocabulary) -> Column:
+    return n.between(1, (1 << 17) - 1 if vocabulary.unigram else BITS)
+
+
+def _ids(chunk: Column, kept: Column, vocabulary: Vocabulary) -> Column:
+    """The ids of edges (s, id) in the order of their starts; characters without a piece give those of their bytes."""
+    raw = lambda e: F.regexp_extract_all(F.hex(F.encode(F.substring(chunk, e["s"] + 1, F.lit(1)), "utf-8")), F.lit("(..)"), F.lit(1))
+    by_byte = lambda e: F.transform(raw(e), lambda h: F.get(F.array(*map(F.lit, vocabulary.byte_ids)), F.conv(h, 16, 10).cast("int")))
+    return F.flatten(F.transform(kept, lambda e: F.when(e["id"] == _NONE, by_byte(e)).otherwise(F.array(e["id"]))))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
 def _joined(cuts: Column, e: Column) -> Column:
     """Whether both ends of an edge are cuts and just one cut stands between them: two neighbours that the edge joins."""
-    ends = _bit(e["s"]).bitwiseOR(_bit(e["e"]))
-    inside = cuts.bitwiseAND(_inner(e))
-    return (cuts.bitwiseAND(ends) == ends) & (inside != 0) & (inside.bitwiseAND(inside - 1) == 0)
+    return (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1) & (cuts.bitwiseAND(e["ends"]) == e["ends"])
 
 
-def merged(lattices: DataFrame) -> DataFrame:
+def merged(lattices: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Rows (word, n, ids, left): each lattice folded in the order of its edges' scores, as a BPE model merges.
 
     The state is the set of cuts between characters, a bit each. The best-scored edge
     comes first, ties from the left; an edge that spans two neighbouring symbols removes
-    the cut between them. left: an edge that still could, which a model whose parts score
-    below their wholes could leave; such words go by ``merge``.
+    the cut between them. left: chunks that don't fit, and those with an edge that still
+    could, which a model whose parts score below their wholes might leave; these go by
+    ``merge``.
     """
+    x = lattices.withColumn("chunk", _chunk(F.col("word")))
+
+    def masks(e):
+        s = _bits(e, _START, 17)
+        stop = s + _bits(e, _LENGTH, 6)
+        ends = _bit(s).bitwiseOR(_bit(stop))
+        return F.struct(ends.alias("ends"), (_bit(stop) - 1 - (_bit(s + 1) - 1)).alias("inner"), s.alias("s"), _bits(e, 0, _ID).alias("id"))
+
+    x = x.withColumn("masks", F.transform("edges", masks)).withColumn("fits", _fits(F.length("chunk"), vocabulary))
     every = F.when(F.col("fits"), _bit(F.length("chunk") + 1) - 1).otherwise(F.lit(0).cast("long"))
-    cuts = F.aggregate("edges", every, lambda c, e: F.when(_joined(c, e), c.bitwiseAND(F.bitwise_not(_inner(e)))).otherwise(c))
-    x = lattices.withColumn("cuts", cuts)
+    x = x.withColumn("cuts", F.aggregate("masks", every, lambda c, e: F.when(_joined(c, e), c.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(c)))
     cut = F.col("cuts")
-    kept = F.filter("edges", lambda e: (cut.bitwiseAND(_bit(e["s"]).bitwiseOR(_bit(e["e"]))) == _bit(e["s"]).bitwiseOR(_bit(e["e"]))) & (cut.bitwiseAND(_inner(e)) == 0))
-    ordered = F.array_sort(F.transform(kept, lambda e: F.struct(e["s"].alias("s"), e["ids"].alias("ids"))))
-    return x.select("word", "n", F.flatten(F.transform(ordered, lambda e: e["ids"])).alias("ids"), (~F.col("fits") | F.exists("edges", lambda e: _joined(cut, e))).alias("left"))
+    kept = F.filter("masks", lambda e: (cut.bitwiseAND(e["inner"]) == 0) & (cut.bitwiseAND(e["ends"]) == e["ends"]))
+    kept = F.sort_array(F.transform(kept, lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id"))))
+    return x.select("word", "n", _ids(F.col("chunk"), kept, vocabulary).alias("ids"), (~F.col("fits") | F.exists("masks", lambda e: _joined(cut, e))).alias("left"))
 
 
-def best_path(lattices: DataFrame) -> DataFrame:
+def best_path(lattices: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Rows (word, n, ids, left): each lattice folded into its path of least cost (Viterbi), as a unigram model segments.
 
-    The state holds, for every place, the least cost of reaching it and the ids on the
+    The state holds, for every place, the least cost of reaching it and the edges on the
     way; edges come by their end, then their start, and the longer edge wins a tie.
     """
-    by_end = F.array_sort(F.transform("edges", lambda e: F.struct(e["e"].alias("e"), e["s"].alias("s"), e["cost"].alias("cost"), e["ids"].alias("ids"))))
-    start = F.array(F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("ids")))
+    scores = [-score for _, _, score in sorted(vocabulary.pieces, key=lambda p: (-p[2], p[1]))] + [1e9]
+    costs = F.from_json(F.lit(json.dumps(scores)), "array<double>")
+    x = lattices.withColumn("chunk", _chunk(F.col("word")))
+
+    def read(e):
+        s = _bits(e, _START, 17)
+        return F.struct((s + _bits(e, _LENGTH, 6)).alias("e"), s.alias("s"), _bits(e, 0, _ID).alias("id"), F.get(costs, F.shiftright(e, _RANK).cast("int")).alias("cost"))
+
+    x = x.withColumn("by_end", F.sort_array(F.transform("edges", read)))
+    none = F.array().cast("array<struct<s:int,id:int>>")
+    start = F.array(F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("cost"), none.alias("way")))
 
     def step(state, e):
         before = F.element_at(F.filter(state, lambda p: p["at"] == e["s"]), 1)
-        now = F.struct(e["e"].alias("at"), (before["cost"] + e["cost"]).alias("cost"), F.concat(before["ids"], e["ids"]).alias("ids"))
+        way = F.concat(before["way"], F.array(F.struct(e["s"].alias("s"), e["id"].alias("id"))))
+        now = F.struct(e["e"].alias("at"), (before["cost"] + e["cost"]).alias("cost"), way.alias("way"))
         last = F.element_at(state, -1)
-        worse = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.when(now["cost"] < last["cost"], now).otherwise(last)))
-        return F.when(last["at"] == e["e"], worse).otherwise(F.concat(state, F.array(now)))
+        better = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(F.when(now["cost"] < last["cost"], now).otherwise(last)))
+        return F.when(last["at"] == e["e"], better).otherwise(F.concat(state, F.array(now)))
 
-    path = F.aggregate(by_end, start, step, lambda s: F.element_at(s, -1)["ids"])
-    return lattices.select("word", "n", path.alias("ids"), F.lit(False).alias("left"))
+    way = F.aggregate("by_end", start, step, lambda s: F.element_at(s, -1)["way"])
+    return x.select("word", "n", _ids(F.col("chunk"), way, vocabulary).alias("ids"), F.lit(False).alias("left"))
 
 
 def merge(chunk: str, ranks: dict[str, tuple[float, int]], byte_ids: tuple[int, ...]) -> list[int]:
@@ -219,10 +256,7 @@ def dictionary(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     and any the fold leaves undone, are merged one by one by the same rule (a unigram
     model has no such limit).
     """
-    chunk = _chunk(F.col("word"))
-    fits = F.length("chunk") >= 1 if vocabulary.unigram else F.length("chunk").between(1, BITS)
-    words = words.select("word", "n", chunk.alias("chunk")).withColumn("fits", fits)
-    folded = (best_path if vocabulary.unigram else merged)(lattice(words, vocabulary))
+    folded = (best_path if vocabulary.unigram else merged)(lattice(words, vocabulary), vocabulary)
     shared = words.sparkSession.sparkContext.broadcast({p: (-score, i) for p, i, score in vocabulary.pieces})
     byte_ids, kind = vocabulary.byte_ids, _kind(vocabulary)
 
@@ -323,7 +357,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
-    counted = rows.select("text").mapInArrow(lambda it: _in_words(it), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = rows.select("text").mapInArrow(lambda it: _in_words(it), "word string, n long")
+    parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = counted.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
     table, _ = written(dictionary(counted, vocabulary), "pieces")
 
     least, total = 0, 0
@@ -334,14 +370,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             break
     blobs = table.where(F.col("n") >= least).select("word", "ids").mapInArrow(lambda it: _packed(it), "blob binary").collect()
     shared = _Shared(spark.sparkContext.broadcast([bytes(r["blob"]) for r in blobs]))
-    kind, parts = _kind(vocabulary), decoder(vocabulary)
+    kind, spelled = _kind(vocabulary), decoder(vocabulary)
 
     def rare(batches):
         known = _held(shared)
         for batch in batches:
             keys, words = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sorted({w for w in words_of(t or "") if w not in known})
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = sorted({w for w in words_of(t.as_py() or "") if w not in known})
                 keys += [k] * len(own)
                 words += own
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
@@ -354,16 +390,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     def run(batches):
         known, z = _held(shared), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids, sizes, trips = [], [], []
-            for data, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                t = z.decompress(data).decode("utf-8", "surrogatepass") if data else ""
+            for data, own in zip(batch.column(1), batch.column(2)):
+                t = z.decompress(data.as_buffer()).decode("utf-8", "surrogatepass") if data.is_valid else ""
+                own = own.as_py()
                 own = dict(zip(own["words"], own["ids"])) if own else {}
                 found = b"".join([known[w] if w in known else own[w] for w in words_of(t)])
                 ids.append(found)
                 one = np.frombuffer(found, kind).tolist()
                 sizes.append(len(one))
-                trips.append(decode_ids(one, parts) == t)
+                trips.append(decode_ids(one, spelled) == t)
             flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(trips)], ["doc_id", "ids", "round_trip"])

@@ -40,8 +40,8 @@ def format_range(box: Column, single: bool = True) -> Column:
 def parse_address(text: Column) -> Column:
     """Struct (r, c) of an address, white space at its ends ignored; null if malformed."""
     t = F.trim(text)
-    row = F.try_subtract(F.regexp_extract(t, _ADDRESS, 2).try_cast("long"), F.lit(1))
-    return F.when(t.rlike(_ADDRESS), F.struct(row.cast("int").alias("r"), column_index(F.regexp_extract(t, _ADDRESS, 1)).cast("int").alias("c")))
+    row = F.try_subtract(F.regexp_extract(t, _ADDRESS, 2).try_cast("int"), F.lit(1))
+    return F.when(t.rlike(_ADDRESS) & row.isNotNull(), F.struct(row.alias("r"), column_index(F.regexp_extract(t, _ADDRESS, 1)).cast("int").alias("c")))
 
 
 def parse_range(text: Column, mode: str = "tolerant") -> Column:

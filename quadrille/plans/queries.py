@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import address as A
 from ..functions import style, text
-from ..operators import boxes, compress, encode, features, merges, metrics, tables
+from ..operators import boxes, compress, encode, features, growth, merges, metrics, tables
 from ..sources import cells as C
+from ..streaming import sheets as stream
+from . import detection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -516,13 +518,10 @@ def seeded_folds(spark, sf_dir):
 
 
 def _label_grids(spark, sf_dir) -> DataFrame:
-    """Labels on event sheets: the first row of every block after a gap is a header, counts over one are data, others too but for each third."""
-    from pyspark.sql.window import Window
-
-    rows = compress.filled(C.event_sheets(spark, sf_dir), "r", _none())
-    starts = rows.withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy("sheet_id").orderBy("i"))).select("sheet_id", F.col("i").alias("r"), (F.coalesce("gap", F.lit(99)) > 4).alias("start"))
-    x = C.event_sheets(spark, sf_dir).join(starts, ["sheet_id", "r"])
-    return x.select("sheet_id", "r", "c", F.when(F.col("start"), tables.HEADER).when((F.col("v").cast("int") > 1) | ((F.col("r") + F.col("c")) % 3 > 0), tables.DATA).otherwise(tables.TITLE).alias("label"))
+    """Labels on order sheets: the first row is a header, a few cells are empty or a title, the rest data."""
+    k = (F.col("r") + F.col("c") + F.col("sheet_id")) % 13
+    label = F.when(F.col("r") == 0, tables.HEADER).when(k == 0, tables.EMPTY).when(k == 1, tables.TITLE).otherwise(tables.DATA)
+    return C.order_sheets(spark, sf_dir).select("sheet_id", "r", "c", label.alias("label"))
 
 
 @query()
@@ -550,3 +549,33 @@ def cell_dates(spark, sf_dir):
     """Types of the cells of order sheets where dates are parsed; other than the fixed rules, these come from a Python parser."""
     x = C.order_sheets(spark, sf_dir).select("c", text.cell_type(F.col("v")).alias("type"))
     return x.groupBy("c", "type").agg(F.count("*").alias("n"))
+
+
+@query()
+def sheet_boxes(spark, sf_dir):
+    return growth.detect_boxes(C.event_sheets(spark, sf_dir)).select("sheet_id", "idx", "box.*")
+
+
+@query()
+def sheet_texts(spark, sf_dir):
+    """Event sheets cut to what is near detected boxes, as text for a language model."""
+    sheets = C.event_sheets(spark, sf_dir)
+    return detection.encoded(sheets, *detection.kept_axes(sheets, growth.detect_boxes(sheets)))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """An addition: tumbling windows, as the stream has them."""
+    x = stream.windowed(C.read(spark, sf_dir, "events"))
+    return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def user_sessions(spark, sf_dir):
+    """An addition: sessions of a user's events."""
+    x = stream.sessions(C.read(spark, sf_dir, "events"))
+    return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

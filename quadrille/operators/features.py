@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.style import stable_hash
+from ..functions.style import normalised, palette_colour, stable_hash, theme_colour
 from ..sources.cells import dense, shapes
 
 #: Names of the features by their place.
@@ -30,6 +30,34 @@ def default_format(size: float = 10.0, font: str = "Arial") -> dict[str, Column]
     return out | {"font_size": F.lit(size), "font_hash": stable_hash(F.lit(font)), "bg_r": F.lit(-1.0), "bg_g": F.lit(-1.0), "bg_b": F.lit(-1.0), "h_align_0": F.lit(1.0), "v_align_3": F.lit(1.0)}
 
 
+def formats(cells: DataFrame, styles: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """(sheet_id, r, c, and ``FORMAT``) of cells (sheet_id, r, c, style) whose style (sheet_id, style, fields of a workbook's style) is known.
+
+    merged: cell to anchor (sheet_id, r, c, ar, ac): covered cells look like their anchor
+    and count as in a merged area.
+    """
+    x = cells.select("sheet_id", "r", "c", "style")
+    if merged is not None:
+        anchor = x.select("sheet_id", F.col("r").alias("ar"), F.col("c").alias("ac"), F.col("style").alias("_style"))
+        inside = merged.join(anchor, ["sheet_id", "ar", "ac"], "left").select("sheet_id", "r", "c", F.col("_style").alias("style"), F.lit(True).alias("_in"))
+        x = x.join(merged, ["sheet_id", "r", "c"], "left_anti").withColumn("_in", F.lit(False)).unionByName(inside)
+    else:
+        x = x.withColumn("_in", F.lit(False))
+    x = x.join(styles, ["sheet_id", "style"])
+
+    def colour(p: str) -> Column:
+        own = F.when(F.size(f"{p}_palette") == 3, F.struct(F.get(f"{p}_palette", F.lit(0)).alias("r"), F.get(f"{p}_palette", F.lit(1)).alias("g"), F.get(f"{p}_palette", F.lit(2)).alias("b")))
+        by_index = F.when(palette_colour(F.col(f"{p}_index")).isNull() & F.col(f"{p}_index").isin(0x40, 0x41, 0x7FFF), F.lit(None)).otherwise(F.coalesce(own, palette_colour(F.col(f"{p}_index"))))
+        return F.coalesce(theme_colour(F.col(f"{p}_argb"), F.col(f"{p}_theme"), F.col(f"{p}_tint"), F.col(f"{p}_indexed")), by_index)
+
+    fg, bg = normalised(colour("fg")), colour("bg")
+    values = {"font_size": F.coalesce("size", F.lit(11.0)), "font_hash": stable_hash(F.coalesce("font", F.lit("Calibri"))), "in_merge": _flag(F.col("_in"))}
+    values |= {n: _flag(F.col(n)) for n in ("bold", "italic", "underline", "border_left", "border_right", "border_top", "border_bottom")}
+    values |= {f"fg_{n}": fg[n] for n in "rgb"} | {f"bg_{n}": F.when(bg.isNull(), -1.0).otherwise(bg[n] / 255.0) for n in "rgb"}
+    values |= {f"h_align_{i}": (F.coalesce("h_align", F.lit(0)) == i).cast("double") for i in range(7)} | {f"v_align_{i}": (F.coalesce("v_align", F.lit(3)) == i).cast("double") for i in range(6)}
+    return x.select("sheet_id", "r", "c", *[values[n].cast("double").alias(n) for n in FORMAT])
+
+
 def _flag(x: Column) -> Column:
     return F.coalesce(x, F.lit(False)).cast("double")
 

@@ -18,8 +18,8 @@ RESULTS = (
     "predicted_ranges_compressed array<string>, range_corners_merged boolean, no_valid_prediction boolean, llm_response string, llm_tokens int, llm_elapsed double, "
     "metrics struct<precision:double,recall:double,f1:double,tp:int,fp:int,fn:int,n_pred:int,n_gt:int>, metrics_iou map<string,double>, elapsed_sec double, error string"
 )
-_CELLS = pa.schema([("file_path", pa.string()), ("sheet", pa.string()), ("r", pa.int32()), ("c", pa.int32()), ("v", pa.string()), ("kind", pa.string()), ("nf", pa.string()), ("attrs", pa.list_(pa.string())), ("r1", pa.int32()), ("c1", pa.int32()), ("error", pa.string())])
-CELLS = "file_path string, sheet string, r int, c int, v string, kind string, nf string, attrs array<string>, r1 int, c1 int, error string"
+_CELLS = pa.schema([("file_path", pa.string()), ("sheet", pa.string()), ("r", pa.int32()), ("c", pa.int32()), ("v", pa.string()), ("kind", pa.string()), ("nf", pa.string()), ("attrs", pa.list_(pa.string())), ("style", pa.int32()), ("r1", pa.int32()), ("c1", pa.int32()), ("error", pa.string())])
+CELLS = "file_path string, sheet string, r int, c int, v string, kind string, nf string, attrs array<string>, style int, r1 int, c1 int, error string"
 
 
 def manifest(spark: SparkSession, path: str, excluded: str | None = None) -> DataFrame:
@@ -49,10 +49,10 @@ def sheets(spark: SparkSession, paths: str | list[str], names: DataFrame | None
                 path, data, name, mime = (b.column(k)[i].as_py() for k in range(4))
                 try:
                     s = workbooks.read(path, data, name, mime, profile)
-                    rows = [(path, s.name, r, c, x.v, x.kind, x.nf, x.attrs, None, None, None) for (r, c), x in sorted(s.cells.items())]
-                    rows += [(path, s.name, r0, c0, None, "merge", None, None, r1, c1, None) for r0, c0, r1, c1 in s.merges]
+                    rows = [(path, s.name, r, c, x.v, x.kind, x.nf, x.attrs, x.style, None, None, None) for (r, c), x in sorted(s.cells.items())]
+                    rows += [(path, s.name, r0, c0, None, "merge", None, None, None, r1, c1, None) for r0, c0, r1, c1 in s.merges]
                 except Exception as e:  # a broken file is a row, not the end of the job
-                    rows = [(path, name, None, None, None, "failed", None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
+                    rows = [(path, name, None, None, None, "failed", None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])]
                 for at in range(0, len(rows), batch):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + batch]), _CELLS)], schema=_CELLS)
 
@@ -76,10 +76,38 @@ def formats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.mapInArrow(run, "file_path string, format string")
 
 
+#: A style as its file says it; colours are texts, theme numbers with tints, or indices, with the workbook's own palette.
+STYLES = (
+    "file_path string, sheet string, style int, bold boolean, italic boolean, underline boolean, size double, font string, fg_argb string, fg_theme int, fg_tint double, fg_indexed int, fg_index int, fg_palette array<int>, "
+    "bg_argb string, bg_theme int, bg_tint double, bg_indexed int, bg_index int, bg_palette array<int>, border_left boolean, border_right boolean, border_top boolean, border_bottom boolean, h_align int, v_align int"
+)
+
+
+def styles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The styles of each workbook's first sheet (``STYLES``), a row for each that its cells may refer to; other files have none."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    names = [c.strip().split(" ")[0] for c in STYLES.split(", ")]
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for path, data in zip(frame["path"], frame["content"]):
+                try:
+                    s = workbooks.read(path, data, profile="encoder")
+                except Exception:  # ``sheets`` has a row for it
+                    continue
+                rows += [{"file_path": path, "sheet": s.name, "style": i} | x for i, x in enumerate(s.styles)]
+            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    return files.mapInPandas(run, STYLES)
+
+
 def split_cells(read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cells (sheet_id, r, c, v, kind, nf, attrs), merged areas (sheet_id, r0, c0, r1, c1) and failures (file_path, error) of ``sheets``."""
+    """Cells (sheet_id, r, c, v, kind, nf, attrs, style), merged areas (sheet_id, r0, c0, r1, c1) and failures (file_path, error) of ``sheets``."""
     x = read.withColumn("sheet_id", F.xxhash64("file_path", "sheet"))
-    cells = x.where("kind not in ('merge', 'failed')").select("sheet_id", "r", "c", "v", "kind", "nf", "attrs")
+    cells = x.where("kind not in ('merge', 'failed')").select("sheet_id", "r", "c", "v", "kind", "nf", "attrs", "style")
     areas = x.where("kind = 'merge'").select("sheet_id", F.col("r").alias("r0"), F.col("c").alias("c0"), "r1", "c1")
     return cells, areas, read.where("kind = 'failed'").select("file_path", "error")
 

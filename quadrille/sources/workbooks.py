@@ -38,6 +38,7 @@ class Cell:
     kind: str = "text"
     nf: str = "General"
     attrs: list[str] = field(default_factory=list)
+    style: int | None = None
 
 
 @dataclass
@@ -45,6 +46,7 @@ class Sheet:
     name: str | None
     cells: dict[tuple[int, int], Cell]
     merges: list[tuple[int, int, int, int]] = field(default_factory=list)
+    styles: list[dict] = field(default_factory=list)
 
 
 def sniffed(head: bytes, whole: bytes | None = None) -> str | None:
@@ -133,27 +135,46 @@ def chosen(names: list[str], wanted: str | int | None) -> int:
     raise ValueError(f"no sheet {wanted!r} among {names}")
 
 
-def _styles(z: zipfile.ZipFile) -> list[tuple[str, list[str]]]:
-    """(number format, attributes) of each cell style; none where the part is missing or broken."""
+#: Alignments by their place among the features.
+H_ALIGN = {"general": 0, "right": 1, "center": 2, "centerContinuous": 2, "justify": 3, "left": 4, "fill": 5, "distributed": 6}
+V_ALIGN = {"top": 0, "center": 1, "bottom": 2, "justify": 3, "distributed": 3}
+H_CODE, V_CODE = {0: 0, 1: 0, 3: 1, 2: 2, 6: 2, 5: 3, 4: 4, 7: 5}, {0: 0, 1: 1, 2: 2}
+
+
+def _colour(e, prefix: str) -> dict:
+    """What a colour element says: an rgb text, a theme colour with a tint, or an index."""
+    get = lambda n, kind: kind(e.get(n)) if e is not None and e.get(n) is not None else None
+    return {f"{prefix}_argb": get("rgb", str), f"{prefix}_theme": get("theme", int), f"{prefix}_tint": get("tint", float), f"{prefix}_indexed": get("indexed", int)}
+
+
+def _styles(z: zipfile.ZipFile) -> list[dict]:
+    """Each cell style: number format, attributes, and what its font, fill, borders and alignment are; none where the part is missing or broken."""
     try:
         root = ElementTree.fromstring(z.read("xl/styles.xml"))
     except (KeyError, ElementTree.ParseError):
         return []
     formats = BUILT_IN | {int(x.get("numFmtId")): x.get("formatCode") for x in _children(_first(root, "numFmts"), "numFmt")}
-    bold = [_first(f, "b") is not None and _first(f, "b").get("val", "1") not in ("0", "false") for f in _children(_first(root, "fonts"), "font")]
-    borders = [[f"{s.capitalize()}Border" for s in ("top", "bottom", "left", "right") if _first(b, s) is not None and _first(b, s).get("style")] for b in _children(_first(root, "borders"), "border")]
-    fills = []
+    fonts, fills, borders = [], [], []
+    for f in _children(_first(root, "fonts"), "font"):
+        on = lambda n: (x := _first(f, n)) is not None and x.get("val", "1") not in ("0", "false", "none")  # noqa: B023, E731
+        value = lambda n: x.get("val") if (x := _first(f, n)) is not None else None  # noqa: B023, E731
+        fonts.append({"bold": on("b"), "italic": on("i"), "underline": on("u"), "size": float(value("sz") or 11), "font": value("name") or "Calibri"} | _colour(_first(f, "color"), "fg"))
     for f in _children(_first(root, "fills"), "fill"):
         p = _first(f, "patternFill")
         kind = p.get("patternType") if p is not None else None
         fg = _first(p, "fgColor")
         plain = kind in (None, "none") or (kind == "solid" and (fg is None or fg.get("rgb") in ("00000000", "FFFFFFFF")))
-        fills.append(not plain)
+        fills.append((not plain, _colour(fg if kind not in (None, "none") else None, "bg")))
+    for x in _children(_first(root, "borders"), "border"):
+        borders.append({s: _first(x, s) is not None and bool(_first(x, s).get("style")) for s in ("top", "bottom", "left", "right")})
     out = []
     for x in _children(_first(root, "cellXfs"), "xf"):
         at = lambda values, key, other: values[i] if (i := int(x.get(key, 0))) < len(values) else other  # noqa: B023, E731
-        attrs = ["FontBold"] * bool(at(bold, "fontId", False)) + at(borders, "borderId", []) + ["FillColor"] * bool(at(fills, "fillId", False))
-        out.append((formats.get(int(x.get("numFmtId", 0)), "General"), attrs))
+        font, border, (filled, fill) = at(fonts, "fontId", {}), at(borders, "borderId", {}), at(fills, "fillId", (False, {}))
+        attrs = ["FontBold"] * bool(font.get("bold")) + [f"{s.capitalize()}Border" for s in ("top", "bottom", "left", "right") if border.get(s)] + ["FillColor"] * filled
+        align = _first(x, "alignment")
+        h, v = (align.get("horizontal"), align.get("vertical")) if align is not None else (None, None)
+        out.append(font | fill | {f"border_{s}": bool(border.get(s)) for s in ("top", "bottom", "left", "right")} | {"nf": formats.get(int(x.get("numFmtId", 0)), "General"), "attrs": attrs, "h_align": H_ALIGN.get(h, 6) if h else 0, "v_align": V_ALIGN.get(v, 3)})
     return out
 
 
@@ -192,7 +213,9 @@ def read_xlsx(data: bytes, sheet: str | int | None = None, profile: str = "class
             c = place(x.get("r"))[1] if x.get("r") else c + 1
             kind, raw = x.get("t", "n"), _first(x, "v")
             v = raw.text if raw is not None else None
-            nf, attrs = styles[int(x.get("s", 0))] if int(x.get("s", 0)) < len(styles) else ("General", [])
+            number = int(x.get("s", 0))
+            look = styles[number] if number < len(styles) else {}
+            nf, attrs = look.get("nf", "General"), look.get("attrs", [])
             if kind == "s" and v is not None:
                 cell = Cell(shared[int(v)], "text", nf, attrs)
             elif kind == "inlineStr":
@@ -206,12 +229,12 @@ def read_xlsx(data: bytes, sheet: str | int | None = None, profile: str = "class
             elif is_date_format(nf):
                 cell = Cell(str(epoch + timedelta(days=float(v))), "timestamp", nf, attrs)
             else:
-                number = float(v)
                 whole = re.fullmatch(r"-?\d+", v) is not None
-                cell = Cell(v if whole else repr(number), "int" if whole else "float", nf, attrs)
+                cell = Cell(v if whole else repr(float(v)), "int" if whole else "float", nf, attrs)
+            cell.style = number if number < len(styles) else None
             if cell.v is not None or attrs:
                 cells[r, c] = cell
-    out = Sheet(entry.get("name"), cells, merges)
+    out = Sheet(entry.get("name"), cells, merges, styles)
     return _as_classifier(out) if profile == "classifier" else out
 
 
@@ -232,7 +255,7 @@ def _as_classifier(s: Sheet) -> Sheet:
                 cells.pop((r, c), None)
                 if anchor is not None:
                     cells[r, c] = anchor
-    return Sheet(s.name, until_gap(cells), s.merges)
+    return Sheet(s.name, until_gap(cells), s.merges, s.styles)
 
 
 def empty(v: str | None) -> bool:
@@ -328,13 +351,46 @@ def read_ods(data: bytes, sheet: str | int | None = None, profile: str = "classi
     return Sheet(get(table, "name"), cells, merges)
 
 
+def read_xls(data: bytes, sheet: str | int | None = None, profile: str = "classifier") -> Sheet:
+    """One sheet of a binary workbook. classifier: whole numbers are ints, dates their serial numbers; encoder: numbers are floats, dates ISO texts, merged areas left out."""
+    from . import biff
+
+    whole = biff.stream(data)
+    book = biff.book(whole)
+    name, at = book.sheets[chosen([n for n, _ in book.sheets], sheet)]
+    epoch = datetime(1904, 1, 1) if book.from_1904 else datetime(1899, 12, 30)
+    colour = lambda i, prefix: {f"{prefix}_index": i, f"{prefix}_palette": list(book.palette[i]) if i in book.palette else None}
+    styles = []
+    for x in book.xfs:
+        f = book.fonts[x["font"] - (x["font"] > 4)] if x["font"] - (x["font"] > 4) < len(book.fonts) else {"fg": 0x7FFF}
+        look = {k: v for k, v in f.items() if k != "fg"} | colour(f["fg"], "fg") | colour(x["bg"] if x["pattern"] else 0x40, "bg")
+        look |= dict(zip(("border_left", "border_right", "border_top", "border_bottom"), (b != 0 for b in x["borders"])))
+        styles.append(look | {"nf": book.formats.get(x["nf"], BUILT_IN.get(x["nf"], "General")), "attrs": [], "h_align": H_CODE.get(x["h"], 6), "v_align": V_CODE.get(x["v"], 3)})
+    cells, merges = {}, []
+    for kind, *rest in biff.cells(whole, at, book.strings):
+        if kind == "merge":
+            merges.append(tuple(rest))
+            continue
+        r, c, x, v = rest
+        nf = styles[x]["nf"] if x < len(styles) else "General"
+        if kind == "number" and profile == "encoder" and is_date_format(nf):
+            cell = Cell(str(epoch + timedelta(days=v)), "timestamp", nf)
+        elif kind == "number":
+            cell = Cell(str(int(v)), "int", nf) if v == int(v) and profile == "classifier" else Cell(repr(v), "float", nf)
+        else:
+            cell = Cell(None if v is None else str(v), kind, nf)
+        cell.style = x if x < len(styles) else None
+        if cell.v is not None or kind == "error":
+            cells[r, c] = cell
+    out = Sheet(name, cells, merges if profile == "classifier" else [], styles)
+    return _as_classifier(out) if profile == "classifier" else out
+
+
 def read(path: str, data: bytes, sheet: str | int | None = None, mime: str | None = None, profile: str = "classifier") -> Sheet:
-    """A sheet of a file of any format that is read; binary workbooks aren't."""
+    """A sheet of a file of any format."""
     kind = detect_format(path, data, mime, profile)
     if kind in ("csv", "tsv"):
         return read_csv(data, kind == "tsv" or path.lower().endswith(".tsv"), profile)
     if kind == "xlsx":
         return read_xlsx(data, sheet, profile)
-    if kind == "ods":
-        return read_ods(data, sheet, profile)
-    raise ValueError(f"{kind} files aren't read: {path}")
+    return read_ods(data, sheet, profile) if kind == "ods" else read_xls(data, sheet, profile)

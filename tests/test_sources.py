@@ -87,7 +87,7 @@ def test_wide_merges_and_gaps():
 def test_files_in_spark(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(xlsx())
     (tmp_path / "b.ods").write_bytes(ods())
-    (tmp_path / "c.xls").write_bytes(b"\xd0\xcf\x11\xe0 binary")
+    (tmp_path / "c.xls").write_bytes(b"\xd0\xcf\x11\xe0 broken")
     read = files.sheets(spark, str(tmp_path))
     cells, areas, failed = files.split_cells(read)
     assert cells.count() == 11 and areas.count() == 2 and [r.file_path.endswith("c.xls") for r in failed.collect()] == [True]

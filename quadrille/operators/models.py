@@ -134,6 +134,12 @@ def _arrays(nodes: pd.DataFrame, edges: pd.DataFrame, n_pair: int):
     return nodes, np.stack(nodes["x"].to_numpy()), f, pairs, nodes["is_empty"].to_numpy(bool)
 
 
+def _by_sheet(nodes: DataFrame, edges: DataFrame):
+    """Both tables grouped together by sheet; the edges' columns get new identities, as they may come from the nodes' own table."""
+    edges = edges.select(*[F.col(c).alias(f"_{c}") for c in edges.columns]).toDF(*edges.columns)
+    return nodes.groupBy(F.col("sheet_id")).cogroup(edges.groupBy(F.col("sheet_id")))
+
+
 def grid_predict(nodes: DataFrame, edges: DataFrame, model: GridModel) -> DataFrame:
     """(sheet_id, r, c, yhat) from nodes (sheet_id, r, c, x, is_empty) and edges (sheet_id, r, c, r2, c2, f)."""
 
@@ -143,7 +149,7 @@ def grid_predict(nodes: DataFrame, edges: DataFrame, model: GridModel) -> DataFr
         n, x, f, pairs, empty = _arrays(n, e, model.n_pair)
         return pd.DataFrame({"sheet_id": n["sheet_id"].to_numpy(), "r": n["r"].to_numpy(), "c": n["c"].to_numpy(), "yhat": max_product(*model.potentials(x, f, empty), pairs)})
 
-    return nodes.groupBy("sheet_id").cogroup(edges.groupBy("sheet_id")).applyInPandas(kernel, "sheet_id long, r int, c int, yhat int")
+    return _by_sheet(nodes, edges).applyInPandas(kernel, "sheet_id long, r int, c int, yhat int")
 
 
 def _violations(now: GridModel, cost: np.ndarray):
@@ -180,7 +186,7 @@ def grid_fit(nodes: DataFrame, edges: DataFrame, model: GridModel, weights: dict
         part = nodes if sample is None else nodes.where(F.pmod(F.xxhash64("sheet_id", F.lit(seed + step)), F.lit(1_000_000)) < int(sample * 1_000_000))
         now = GridModel(model.n_unary, model.n_pair, model.states, model.penalty, model.clamp, model.w.copy())
 
-        sums = {r["i"]: r["d"] for r in part.groupBy("sheet_id").cogroup(edges.groupBy("sheet_id")).applyInPandas(_violations(now, cost), "i int, d double").groupBy("i").agg(F.sum("d").alias("d")).collect()}
+        sums = {r["i"]: r["d"] for r in _by_sheet(part, edges).applyInPandas(_violations(now, cost), "i int, d double").groupBy("i").agg(F.sum("d").alias("d")).collect()}
         sheets = max(1.0, sums.pop(-2, 1.0))
         loss = sums.pop(-1, 0.0)
         gradient = np.zeros_like(model.w)

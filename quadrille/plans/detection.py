@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address as A
-from ..functions.style import result_id
+from ..functions.style import UUID, base_name, file_uuid, result_id, stem
 from ..functions.text import is_empty_for_features, token_estimate
 from ..operators import boxes, compress, encode, metrics
 from ..sources.cells import shapes
@@ -164,3 +164,31 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     from ..sources.files import results
 
     return results(spark, path)
+
+
+def canonical_keys(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``records`` (labels_path, file_path) with key: a UUID in the annotation's path, else in the file's name, else the manifest's for the name, or its stem, in any case.
+
+    manifest: (file_path, uuid, position); the last of several rows of a name counts.
+    """
+    low = lambda c: F.lower(c)
+    names = manifest.select(low(base_name(F.col("file_path"))).alias("name"), low(stem(F.col("file_path"))).alias("stem"), "uuid", "position")
+    by_name = metrics.last_by_name(names, "name", "uuid", "position").select(F.col("name").alias("_name"), F.col("uuid").alias("_u1"))
+    by_stem = metrics.last_by_name(names, "stem", "uuid", "position").select(F.col("stem").alias("_stem"), F.col("uuid").alias("_u2"))
+    own = F.when(stem(F.col("file_path")).rlike(f"^{UUID}$"), stem(F.col("file_path")))
+    x = records.withColumns({"_k": F.coalesce(file_uuid(F.col("labels_path")), own), "_name": low(base_name(F.col("file_path"))), "_stem": low(stem(F.col("file_path")))})
+    x = x.join(by_name, "_name", "left").join(by_stem, "_stem", "left")
+    return x.withColumn("key", F.coalesce("_k", "_u1", "_u2")).select(*records.columns, "key")
+
+
+def resolved_styles(styles: DataFrame, most: int = 32) -> DataFrame:
+    """(name, property, value): properties of styles (name, parent, property, value) with what they inherit, the nearest ancestor's first.
+
+    Chains are followed up to ``most`` steps, which also ends those that run in a circle.
+    """
+    styles.createOrReplaceTempView("_styles")
+    return styles.sparkSession.sql(f"""
+        WITH RECURSIVE chain (name, ancestor, depth) AS (
+            SELECT DISTINCT name, name, 0 FROM _styles
+            UNION ALL SELECT c.name, p.parent, c.depth + 1 FROM chain c JOIN (SELECT DISTINCT name, parent FROM _styles WHERE parent IS NOT NULL) p ON p.name = c.ancestor WHERE c.depth < {most})
+        SELECT c.name, s.property, min_by(s.value, c.depth) AS value FROM chain c JOIN _styles s ON s.name = c.ancestor WHERE s.property IS NOT NULL GROUP BY c.name, s.property""")

@@ -137,3 +137,14 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+
+
+def test_keys_and_styles(spark):
+    u = [f"0000000{i}-0000-0000-0000-000000000000" for i in range(4)]
+    manifest = spark.createDataFrame([("/a/One.xls", u[0], 0), ("/b/one.XLS", u[1], 1), ("/c/two.ods", u[2], 2)], "file_path string, uuid string, position int")
+    records = spark.createDataFrame([(f"/x/annotations_{u[3]}.npz", "q.csv"), (None, f"/y/{u[3]}.csv"), (None, "/z/ONE.xls"), (None, "two.csv"), (None, "none.csv")], "labels_path string, file_path string")
+    got = {r.file_path: r.key for r in detection.canonical_keys(records, manifest).collect()}
+    assert got == {"q.csv": u[3], f"/y/{u[3]}.csv": u[3], "/z/ONE.xls": u[1], "two.csv": u[2], "none.csv": None}
+    styles = spark.createDataFrame([("a", "b", "size", "9"), ("b", "c", "size", "10"), ("b", "c", "font", "X"), ("c", "a", "bold", "1")], "name string, parent string, property string, value string")
+    got = {(r.name, r.property): r.value for r in detection.resolved_styles(styles).collect()}
+    assert got["a", "size"] == "9" and got["a", "font"] == "X" and got["a", "bold"] == "1" and got["c", "size"] == "9" and len(got) == 9

@@ -10,12 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import character_ratios
 from .encode import boundaries
+from .kernels import per_sheet
 from .tables import label_components
 
 #: Gaps (across, down) at which regions grow; sheets beyond these sizes take the first alone.
@@ -155,13 +155,13 @@ def detect_boxes(cells: DataFrame, attributes: str | None = None) -> DataFrame:
     """(sheet_id, idx, box): disjoint boxes of each sheet, from the top left. A sheet is one kernel's; only cells that show something reach it."""
     x = cell_values(cells, attributes).where("value > 0").select("sheet_id", "r", "c", (F.col("content") > 0).alias("full"), (F.col("border") > 0).alias("marked"), "header_like")
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        shape = (int(frame["r"].max()) + 1, int(frame["c"].max()) + 1)
+    def kernel(sheet: int, a: dict):
+        shape = (int(a["r"].max()) + 1, int(a["c"].max()) + 1)
         grids = [np.zeros(shape, bool) for _ in range(3)]
         for g, n in zip(grids, ("full", "marked", "header_like")):
-            g[frame["r"], frame["c"]] = frame[n]
-        found = Sheet(*grids).boxes()
-        return pd.DataFrame([(frame["sheet_id"].iloc[0], i, *b) for i, b in enumerate(found)], columns=["sheet_id", "idx", "r0", "c0", "r1", "c1"])
+            g[a["r"], a["c"]] = a[n]
+        for i, b in enumerate(Sheet(*grids).boxes()):
+            yield (sheet, i, *b)
 
-    found = x.groupBy("sheet_id").applyInPandas(kernel, "sheet_id long, idx int, r0 int, c0 int, r1 int, c1 int")
+    found = per_sheet(x, ["r", "c", "full", "marked", "header_like"], kernel, "sheet_id long, idx int, r0 int, c0 int, r1 int, c1 int")
     return found.select("sheet_id", "idx", F.struct("r0", "c0", "r1", "c1").alias("box"))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .kernels import per_sheet
+
 EMPTY, HEADER, DATA, TITLE, OTHER = range(5)
 
 
@@ -175,30 +176,36 @@ _TABLES = "sheet_id long, idx int, r0 int, c0 int, r1 int, c1 int, top_headers a
 def detect(labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Tables of each sheet of labels (sheet_id, r, c, label), the order of ``idx`` being largest first."""
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((frame["r"].max() + 1, frame["c"].max() + 1), np.int8)
-        grid[frame["r"], frame["c"]] = frame["label"]
-        found = Sheet(grid, rules).tables()
-        return pd.DataFrame([{"sheet_id": frame["sheet_id"].iloc[0], "idx": i} | t for i, t in enumerate(found)], columns=[c.split()[0] for c in _TABLES.split(", ")])
+    names = [c.split()[0] for c in _TABLES.split(", ")][2:]
+
+    def kernel(sheet: int, x: dict):
+        grid = np.zeros((x["r"].max() + 1, x["c"].max() + 1), np.int8)
+        grid[x["r"], x["c"]] = x["label"]
+        for i, t in enumerate(Sheet(grid, rules).tables()):
+            yield (sheet, i, *(t[n] for n in names))
 
-    return labels.where(f"label <> {EMPTY}").select("sheet_id", "r", "c", "label").groupBy("sheet_id").applyInPandas(kernel, _TABLES)
+    return per_sheet(labels.where(f"label <> {EMPTY}"), ["r", "c", "label"], kernel, _TABLES)
 
 
 def typed_regions(cells: DataFrame) -> DataFrame:
     """(sheet_id, idx, type, r0, c0, r1, c1, n): 4-connected regions of one data type (cells with a null type are in none)."""
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        h, w = frame["r"].max() + 1, frame["c"].max() + 1
+    def kernel(sheet: int, x: dict):
+        kinds, number = np.unique(x["type"].astype(str), return_inverse=True)
+        grid = np.full((x["r"].max() + 1, x["c"].max() + 1), -1, np.int32)
+        grid[x["r"], x["c"]] = number
         rows = []
-        for kind, own in frame.groupby("type"):
-            mask = np.zeros((h, w), bool)
-            mask[own["r"], own["c"]] = True
-            numbers = label_components(mask)
-            for n in range(1, int(numbers.max()) + 1):
-                r, c = np.nonzero(numbers == n)
-                rows.append((int(r[0]), int(c[0]), kind, int(r.min()), int(c.min()), int(r.max()), int(c.max()), len(r)))
+        for k, kind in enumerate(kinds):
+            numbers = label_components(grid == k)
+            at = np.flatnonzero(numbers)
+            own = numbers.reshape(-1)[at]
+            r, c = np.divmod(at, grid.shape[1])
+            order = np.argsort(own, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+                rows.append((int(r[some[0]]), int(c[some[0]]), str(kind), int(r[some].min()), int(c[some].min()), int(r[some].max()), int(c[some].max()), len(some)))
         rows.sort()
-        return pd.DataFrame([(frame["sheet_id"].iloc[0], i, *x[2:]) for i, x in enumerate(rows)], columns=["sheet_id", "idx", "type", "r0", "c0", "r1", "c1", "n"])
+        for i, row in enumerate(rows):
+            yield (sheet, i, *row[2:])
 
     schema = "sheet_id long, idx int, type string, r0 int, c0 int, r1 int, c1 int, n int"
-    return cells.where("type is not null").select("sheet_id", "r", "c", "type").groupBy("sheet_id").applyInPandas(kernel, schema)
+    return per_sheet(cells.where("type is not null"), ["r", "c", "type"], kernel, schema)

@@ -66,7 +66,7 @@ class Network:
         return np.einsum("wd,cdf->wcf", embed(self.table, words)[0], self.filters).reshape(len(words), -1)
 
     def pooled(self, rows: np.ndarray, begins: np.ndarray, ends: np.ndarray, places: bool = False):
-        """Maxima (and their places) of every filter over each document's rows; two rows of zeros stand after each."""
+        """Maxima (and their places) of every filter over each document's rows; rows of zeros stand after each."""
         best, where = [], []
         for k, w in enumerate(WIDTHS):
             c = sum(WIDTHS[:k]) * FILTERS
@@ -93,10 +93,11 @@ class Network:
 
 
 def layout(docs: list[list[int]], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of all documents with two pads after each; where each begins and ends (before its pads)."""
+    """Word numbers of all documents with as many pads after each as the widest filter, so that no window reaches the next; where each begins and ends (before its pads)."""
+    gap = max(WIDTHS)
     sizes = np.array([len(d) for d in docs], np.int64)
-    begins = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]])
-    flat = np.full(int((sizes + 2).sum()) + 2, pad, np.int64)
+    begins = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
+    flat = np.full(int((sizes + gap).sum()) + gap, pad, np.int64)
     for d, b in zip(docs, begins):
         flat[b : b + len(d)] = d
     return flat, begins, begins + sizes

@@ -70,7 +70,7 @@ def unary(cells: DataFrame, file_format: str = "csv", merges: DataFrame | None =
     Row and column statistics are plain windows over the grid; a sheet's rows and
     columns are each sorted once.
     """
-    x = dense(cells, shapes(cells))
+    x = dense(cells, shapes(cells)).repartition("sheet_id")  # windows along rows and columns then need no exchange of their own
     h, w = F.col("n_rows"), F.col("n_cols")
     na = T.is_empty_for_features(F.col("v"))
     cell_kind = T.cell_type(F.col("v"), F.col(kind) if kind else None, date)
@@ -127,10 +127,10 @@ def pairwise(features: DataFrame, compatible: bool = True) -> DataFrame:
     """
     fields = [n for n in (*CONTENT, *FORMAT) if n not in ("row_filled", "col_filled")]
     here = F.struct("r", "c", *fields)
-    sides = []
-    for name, by in (("right", Window.partitionBy("sheet_id", "r").orderBy("c")), ("down", Window.partitionBy("sheet_id", "c").orderBy("r"))):
-        sides.append(features.select("sheet_id", here.alias("i"), F.lead(here).over(by).alias("j"), F.lit(name == "right").alias("right")).where("j is not null"))
-    x = sides[0].unionByName(sides[1])
+    along = {"right": Window.partitionBy("sheet_id", "r").orderBy("c"), "down": Window.partitionBy("sheet_id", "c").orderBy("r")}
+    x = features.select("sheet_id", here.alias("i"), *[F.lead(here).over(by).alias(n) for n, by in along.items()])
+    sides = F.array(*[F.struct(F.col(n).alias("j"), F.lit(n == "right").alias("right")) for n in along])
+    x = x.select("sheet_id", "i", F.inline(sides)).where("j is not null")
     i, j = (lambda n: F.col(f"i.{n}")), (lambda n: F.col(f"j.{n}"))
     both = lambda n: _flag((i(n) > 0.5) & (j(n) > 0.5))
     gap = lambda n: F.abs(i(n) - j(n))

@@ -15,7 +15,7 @@ BLOCK = 4096
 #: Segments of a vector at each resolution, coarse to fine.
 LEVELS = (4, 16)
 #: Candidates that a task works on at once.
-ROWS = 4096
+ROWS = 1024
 #: Components up to this size have exact inner products in doubles for a million dimensions.
 _EXACT = 1 << 16
 _LONG = (-(2**63), 2**63 - 1)

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates through an inverted index on positional bytes."""
+"""Near-duplicates: SimHash through an inverted index on positional bytes; shared shingles through an inverted index on prefixes."""
 
 from __future__ import annotations
 
@@ -34,18 +34,22 @@ def _votes(hashes: np.ndarray, lanes: int) -> np.ndarray:
     return votes
 
 
-def simhash(text: bytes | None, width: int = 3, lanes: int = 1) -> bytes:
-    """Fingerprint of ``64 * lanes`` bits, highest bit first; zero without words (or text)."""
+def _hashes(text: bytes | None, width: int) -> np.ndarray:
+    """Hashes of a text's shingles of ``width`` words, repeats included; of its whole word sequence where that is shorter."""
     words = (text or b"").lower().split()
     if not words:
-        return bytes(8 * lanes)
+        return np.zeros(0, np.uint64)
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, n)
-    return np.packbits(_votes(hashes, lanes) * 2 > n).tobytes()
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, max(1, len(words) - width + 1))
+
+
+def simhash(text: bytes | None, width: int = 3, lanes: int = 1) -> bytes:
+    """Fingerprint of ``64 * lanes`` bits, highest bit first; zero without words (or text)."""
+    hashes = _hashes(text, width)
+    return np.packbits(_votes(hashes, lanes) * 2 > len(hashes)).tobytes()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, lanes: int = 1) -> DataFrame:
@@ -168,22 +172,157 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("doc_id", "h", "fp", "component_id")
 
 
-#: Fingerprints of whole documents for ``one_of_each``: words in a shingle, lanes of 64 bits, and the most bits that differ.
+#: Wide fingerprints of whole documents: words in a shingle, lanes of 64 bits, and the mean number of differing bits at J = 0.8.
 #: Texts that share J = 0.8 of their shingles have a cosine of 2J / (1 + J) = 0.89, an angle of 0.15 pi, and 38 of 256 bits.
+#: About half of such pairs differ in more, so ``one_of_each`` doesn't use them; its shingles have as many words.
 STAGE_WIDTH, STAGE_LANES, STAGE_BITS = 5, 4, 38
+#: Shingles in more prefixes than ``COMMON`` go to the end of the order of shingles; they are marked in a table of ``SLOTS`` bits.
+COMMON, SLOTS = 8, 1 << 24
+
+
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = STAGE_WIDTH) -> DataFrame:
+    """Rows (doc_id, h, key, shingles): the distinct shingle hashes of every whole text, ascending; key: a hash of that set; h: of the text."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                sets = [np.unique(_hashes(t.as_py(), width).view(np.int64)) for t in some.column(2).cast(pa.large_binary())]
+                keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+                ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(keys), lists], ["doc_id", "h", "key", "shingles"])
+
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return source.mapInArrow(run, "doc_id long, h long, key long, shingles array<long>")
+
+
+def least_prefix(n):
+    """How many of ``n`` shingles, the first in any order common to all sets, hold one of another set with J >= 0.8: that shares 4/5 of n or more."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) of keys that connect, over any number of steps, every two sets with J >= 0.8; others may be connected too.
+
+    Two such sets share a shingle within their prefixes, whatever the order of all
+    shingles. Here common ones come last, so that a passage of many texts joins only
+    texts that consist of little else. A list is sorted by size and cut where the next
+    set is too large for the one before, and so for all before; neighbours are joined.
+    """
+    head = F.slice("shingles", 1, F.size("shingles") - F.floor((F.size("shingles") * 4 + 4) / 5).cast("int") + 1)
+    often = sets.where(F.size("shingles") > 0).select(F.explode(head).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+    slots = often.select(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    marks = np.zeros(SLOTS, np.uint8)
+    marks[slots] = 1
+    common = sets.sparkSession.sparkContext.broadcast(np.packbits(marks).tobytes())
+
+    def post(batches):
+        last = np.unpackbits(np.frombuffer(common.value, np.uint8)).view(bool)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                lists = some.column(1)
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+                out, sizes = [], np.diff(ends)
+                for a, b in zip(ends[:-1], ends[1:]):
+                    x = flat[a:b]
+                    late = last[x & (SLOTS - 1)]
+                    out.append(np.concatenate([x[~late], x[late]])[: least_prefix(b - a)])
+                n = np.array([len(x) for x in out], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(np.repeat(some.column(0).to_numpy(), n))], ["s", "n", "key"])
+
+    def join(batches):
+        before = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)]
+        for batch in batches:
+            s, n, key = (np.concatenate([x, c.to_numpy()]) for x, c in zip(before, batch.columns))
+            near = (s[1:] == s[:-1]) & (key[1:] != key[:-1]) & (5 * n[:-1].astype(np.int64) >= 4 * n[1:].astype(np.int64))
+            edges = np.unique(np.stack([key[:-1][near], key[1:][near]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+            before = [s[-1:], n[-1:], key[-1:]]
+
+    posted = sets.select("key", "shingles").mapInArrow(post, "s long, n int, key long")
+    return posted.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(join, "a long, b long").distinct()
+
+
+def alike(sets: list[np.ndarray]):
+    """Pairs of places in ``sets`` that span the groups linked by J >= 0.8. Shared shingles are counted, none are estimated."""
+    k, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    flat, ends = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(flat, kind="stable")
+    new = np.diff(flat[order], prepend=flat[order[0]]) != 0
+    new[0] = True
+    firsts = np.flatnonzero(new)
+    lengths = np.diff(np.append(firsts, len(flat)))
+    number = np.empty(len(flat), np.int64)
+    number[order] = np.cumsum(new) - 1
+    holders = np.repeat(np.arange(k), sizes)[order]
+    left = np.ones(k, bool)
+    for start in range(k):
+        if not left[start]:
+            continue
+        left[start], queue = False, [start]
+        while queue and left.any():
+            at = queue.pop()
+            mine = number[ends[at] : ends[at + 1]]
+            mine = mine[lengths[mine] > 1]
+            n = lengths[mine]
+            shared = np.bincount(holders[np.repeat(firsts[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=k)
+            near = np.flatnonzero(left & (9 * shared >= 4 * (sizes + sizes[at])))
+            left[near] = False
+            queue.extend(near)
+            for other in near:
+                yield at, other
+
+
+def similar(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) of keys that span the groups of sets (key, shingles) linked by J >= 0.8: exact, but for equal 64-bit hashes.
+
+    Groups of candidates come together with their sets; larger ones than ``BLOCK`` are dealt as pairs of blocks.
+    """
+    groups, _ = written(components(candidates(sets)), "groups")
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("own", j), F.greatest("own", j)))
+    dealt = groups.join(sizes, "root").withColumn("own", own).select(F.col("node").alias("key"), F.explode(pairs).alias("part"))
+    members = sets.select("key", "shingles").join(groups.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"]).join(dealt, "key")
+
+    def run(batches):
+        part, keys, held = None, [], []
+
+        def flush():
+            found = list(alike(held))
+            a, b = ([keys[pair[i]] for pair in found] for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            lists = batch.column(2)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, (p, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if p != part:
+                    if len(held) > 1:
+                        yield flush()
+                    part, keys, held = p, [], []
+                keys.append(key)
+                held.append(flat[ends[i] : ends[i + 1]].copy())
+        if len(held) > 1:
+            yield flush()
+
+    grouped = members.select("part", "key", "shingles").repartition("part").sortWithinPartitions("part", "key")
+    return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, as it is: that of the smallest doc_id (null ids last), then text hash.
 
-    Links are fingerprints of 256 bits over shingles of five words at 38 or fewer
-    differing bits, a similarity of 0.8. Such a pair shares about 8 of 32 bytes, so no
-    number is guaranteed; it is found if some of 64 triples of positions agree. Rows that
+    Links are texts whose sets of five-word shingles have J >= 0.8, every such pair. Rows that
     repeat a doc_id and text are one document. Texts without words are one group.
     """
-    found = near_duplicates(docs, width=STAGE_WIDTH, max_bits=STAGE_BITS, lanes=STAGE_LANES)
-    group = F.coalesce(F.col("component_id").cast("string"), F.hex("fp"))
+    sets, _ = written(shingle_sets(docs), "sets")
+    stars = components(similar(sets))
+    found = sets.select("doc_id", "h", "key").join(stars, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")
-    kept = found.groupBy(group.alias("group")).agg(first).select(F.col("x.none").alias("_none"), F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.h").alias("_h")).distinct()
+    kept = found.groupBy("group").agg(first).select(F.col("x.none").alias("_none"), F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.h").alias("_h")).distinct()
     rows = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_h": F.xxhash64("text")})
     return rows.dropDuplicates(["_none", "_id", "_h"]).join(kept, ["_none", "_id", "_h"], "left_semi").select(*docs.columns)

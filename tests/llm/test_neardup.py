@@ -98,3 +98,51 @@ def test_wide_prints_find_similar_texts():
     a, b = (np.frombuffer(neardup.simhash(" ".join(w).encode(), 5, 4), np.uint64) for w in (words, near))
     c = np.frombuffer(neardup.simhash(" ".join(words[::-1]).encode(), 5, 4), np.uint64)
     assert np.bitwise_count(a ^ b).sum() <= neardup.STAGE_BITS < np.bitwise_count(a ^ c).sum()
+
+
+def edited(rng, words, n):
+    """A copy with ``n`` words replaced, far apart or next to each other."""
+    words, at = list(words), rng.randrange(len(words))
+    for i in range(n):
+        words[(at + i if n % 2 else rng.randrange(len(words))) % len(words)] = f"x{rng.randrange(10**6)}"
+    return words
+
+
+def test_stage_against_true_jaccard(spark):
+    """Every pair with J of 0.8 or more is linked and no other, however short the texts and whatever passage they share."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = ["one two three", "One two  three", "one two four"]
+    for n in (12, 30, 50, 100, 300) * 8:
+        base = [f"w{rng.randrange(2000)}" for _ in range(n)] + (passage if n > 30 else [])
+        texts += [" ".join(base)] + [" ".join(edited(rng, base, rng.randint(1, max(1, n // 25)))) for _ in range(3)]
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    spread = []
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            share = shared / (len(sets[i]) + len(sets[j]) - shared)
+            spread.append(share)
+            if share >= 0.8:
+                root[find(i)] = find(j)
+    assert sum(0.8 <= x < 0.9 for x in spread) > 30 and sum(0.6 < x < 0.8 for x in spread) > 30
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(find(i), i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (neardup.BLOCK, 3):
+        before, neardup.BLOCK = neardup.BLOCK, block
+        try:
+            assert sorted(r.doc_id for r in neardup.one_of_each(docs).collect()) == sorted(least.values())
+        finally:
+            neardup.BLOCK = before

@@ -75,8 +75,9 @@ def byte_groups(lanes: int = 1) -> list[tuple[int, ...]]:
 
     One lane (8 bytes): all triples of each half. Two fingerprints that share five or
     more positional bytes share three in one half, so they meet in some list: with at
-    most three differing bits that is guaranteed. More lanes: 16 triples a lane at
-    strides through all bytes; no count is guaranteed there, see ``links``.
+    most three differing bits that is guaranteed. More lanes: triples at eight strides
+    through all bytes, 256 for four lanes; no count is guaranteed there, so near-dedup
+    by similarity goes through ``candidates``.
     """
     if lanes == 1:
         return [g for half in (range(4), range(4, 8)) for g in combinations(half, 3)]
@@ -84,7 +85,7 @@ def byte_groups(lanes: int = 1) -> list[tuple[int, ...]]:
     groups: list[tuple[int, ...]] = []
     for a, b in ((1, 2), (3, 7), (5, 14), (4, 17), (6, 19), (9, 20), (11, 18), (10, 22)):
         groups += [g for at in range(n) if (g := tuple(sorted((at, (at + a) % n, (at + b) % n)))) not in groups]
-    return groups[: 16 * lanes]
+    return groups
 
 
 def forest(fps: np.ndarray, max_bits: int, min_bytes: int):
@@ -177,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: About half of such pairs differ in more, so ``one_of_each`` doesn't use them; its shingles have as many words.
 STAGE_WIDTH, STAGE_LANES, STAGE_BITS = 5, 4, 38
 #: Shingles in more prefixes than ``COMMON`` go to the end of the order of shingles; they are marked in a table of ``SLOTS`` bits.
-COMMON, SLOTS = 8, 1 << 24
+COMMON, SLOTS = 2, 1 << 24
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = STAGE_WIDTH) -> DataFrame:

@@ -146,3 +146,20 @@ def test_stage_against_true_jaccard(spark):
             assert sorted(r.doc_id for r in neardup.one_of_each(docs).collect()) == sorted(least.values())
         finally:
             neardup.BLOCK = before
+
+
+def test_candidates_connect_every_similar_pair(spark):
+    rng = random.Random(12)
+    assert len(neardup.byte_groups(4)) == 256
+    sets = []
+    for n in (10, 40, 300):
+        for share in (0.8, 0.82, 0.85, 0.9):
+            for _ in range(10):
+                a = {rng.getrandbits(62) for _ in range(n)}
+                gone = int(n * (1 - share) / (1 + share) + 1e-9)
+                b = set(list(a)[gone:]) | {rng.getrandbits(62) for _ in range(gone)}
+                assert len(a & b) >= 0.8 * len(a | b)
+                sets += [sorted(a), sorted(b)]
+    frame = spark.createDataFrame(list(enumerate(sets)), "key long, shingles array<long>")
+    stars = {r.node: r.root for r in components(neardup.candidates(frame)).collect()}
+    assert all(stars[i] == stars[i + 1] for i in range(0, len(sets), 2))

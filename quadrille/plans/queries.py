@@ -197,7 +197,7 @@ def read_until_gap(spark, sf_dir):
 def nearest_kept_row(spark, sf_dir):
     sheets = C.event_sheets(spark, sf_dir)
     kept = compress.collapsed(compress.filled(sheets, "r", _none()))
-    wanted = C.shapes(sheets).select("sheet_id", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("x")).where("x % 7 = 3")
+    wanted = C.shapes(sheets).select("sheet_id", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("x"))
     return compress.nearest(kept, wanted)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.address import parse_range
 from quadrille.operators import models
-from quadrille.plans import detection
+from quadrille.plans import detection, queries
 from quadrille.sources import cells as C
 from quadrille.streaming import sheets
 
@@ -148,3 +148,31 @@ def test_keys_and_styles(spark):
     styles = spark.createDataFrame([("a", "b", "size", "9"), ("b", "c", "size", "10"), ("b", "c", "font", "X"), ("c", "a", "bold", "1")], "name string, parent string, property string, value string")
     got = {(r.name, r.property): r.value for r in detection.resolved_styles(styles).collect()}
     assert got["a", "size"] == "9" and got["a", "font"] == "X" and got["a", "bold"] == "1" and got["c", "size"] == "9" and len(got) == 9
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def event_lines(spark, axis):
+    found = {}
+    for r in C.event_sheets(spark, SF).collect():
+        found.setdefault(r.sheet_id, set()).add(r[axis])
+    return found
+
+
+def kept_lines(lines, keep, size):
+    out, empty = [], 0
+    for i in range(size):
+        empty = 0 if i in lines else empty + 1
+        if empty <= keep:
+            out.append(i)
+    return out
+
+
+def test_nearest_kept_row_of_every_row(spark):
+    want = set()
+    for sheet_id, lines in event_lines(spark, "r").items():
+        kept = kept_lines(lines, 2, max(lines) + 1)
+        for x in range(max(lines) + 1):
+            want.add((sheet_id, x, min(range(len(kept)), key=lambda k: (abs(kept[k] - x), kept[k]))))
+    assert {tuple(r) for r in queries.nearest_kept_row(spark, SF).collect()} == want

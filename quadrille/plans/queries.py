@@ -169,7 +169,7 @@ def rows_collapsed(spark, sf_dir):
     SELECT sheet_id, (row_number() OVER (PARTITION BY sheet_id ORDER BY c) - 1)::INTEGER AS ci, c AS oi FROM runs WHERE NOT none OR pos <= 2"""
 )
 def columns_collapsed_with_tail(spark, sf_dir):
-    wide = C.event_sheets(spark, sf_dir).where("c <> sheet_id % 5").withColumn("c", (F.col("c") * 3).cast("int"))
+    wide = C.event_sheets(spark, sf_dir).withColumn("c", (F.col("c") * 3 + F.when(F.col("c") > F.col("sheet_id") % 5, 2).otherwise(0)).cast("int"))
     sizes = wide.select("sheet_id").distinct().withColumn("n_cols", F.lit(16))
     return compress.collapsed(compress.filled(wide, "c", _none()), 2, sizes, "n_cols")
 
@@ -281,7 +281,7 @@ def merged_areas(spark, sf_dir):
 )
 def merged_values(spark, sf_dir):
     """Every second row has an area over its second and third cell, which then shows the second's value."""
-    sheets = C.order_sheets(spark, sf_dir).where("c < 4")
+    sheets = C.order_sheets(spark, sf_dir)
     areas = sheets.where("c = 1 and r % 2 = 0").select("sheet_id", F.col("r").alias("r0"), F.lit(1).alias("c0"), F.col("r").alias("r1"), F.lit(2).alias("c1"))
     return merges.with_anchor_values(sheets, merges.merge_map(areas))
 

@@ -176,3 +176,17 @@ def test_nearest_kept_row_of_every_row(spark):
         for x in range(max(lines) + 1):
             want.add((sheet_id, x, min(range(len(kept)), key=lambda k: (abs(kept[k] - x), kept[k]))))
     assert {tuple(r) for r in queries.nearest_kept_row(spark, SF).collect()} == want
+
+
+def test_merged_values_of_all_columns(spark):
+    cells = {(r.sheet_id, r.r, r.c): r.v for r in C.order_sheets(spark, SF).collect()}
+    want = {k: cells[k[0], k[1], 1] if k[1] % 2 == 0 and k[2] == 2 else v for k, v in cells.items()}
+    assert {(r.sheet_id, r.r, r.c): r.v for r in queries.merged_values(spark, SF).collect()} == want
+
+
+def test_columns_collapsed_keep_all_events(spark):
+    want = set()
+    for sheet_id, columns in event_lines(spark, "c").items():
+        moved = {3 * c + 2 * (c > sheet_id % 5) for c in columns}
+        want |= {(sheet_id, k, i) for k, i in enumerate(kept_lines(moved, 2, 16))}
+    assert {tuple(r) for r in queries.columns_collapsed_with_tail(spark, SF).collect()} == want

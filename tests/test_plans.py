@@ -190,3 +190,11 @@ def test_columns_collapsed_keep_all_events(spark):
         moved = {3 * c + 2 * (c > sheet_id % 5) for c in columns}
         want |= {(sheet_id, k, i) for k, i in enumerate(kept_lines(moved, 2, 16))}
     assert {tuple(r) for r in queries.columns_collapsed_with_tail(spark, SF).collect()} == want
+
+
+def test_keys_of_all_methods_are_real_keys(spark):
+    found = {}
+    for r in C.read(spark, SF, "lineitem").select("l_linestatus", "l_returnflag", "l_partkey").distinct().collect():
+        found.setdefault(r[0], {}).setdefault(r[1], set()).add(r[2])
+    want = {(fold, key) for fold, methods in found.items() for key in set.intersection(*methods.values())}
+    assert {(r.fold, r.key) for r in queries.keys_of_all_methods(spark, SF).collect()} == want

@@ -17,9 +17,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
-#: What the models judge: identifier-like runs of this length at least that hold a digit and a letter.
+#: What the models judge: identifier-like runs of this length at least, and what the fixed patterns leave of them, that hold a letter.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_RUN = 20
+#: A piece with fewer transitions counts as one of so many, the others neutral: a few characters alone are weak evidence.
+LEAST_TRANSITIONS = 9
 
 #: Characters of the models: a-z, A-Z, 0-9, the six marks, and one class for the edge of a run.
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
@@ -67,22 +69,35 @@ class Models:
         c = counts.reshape(SIZE, SIZE).astype(float) + alpha
         return np.log(c / c.sum(1, keepdims=True))
 
+    def ratios(self, run: str) -> np.ndarray:
+        """Log-likelihood ratio of each of the run's transitions, from its edge to its edge, random over ordinary."""
+        codes = _CODE[np.frombuffer(b" " + run.encode("latin-1", "replace") + b" ", np.uint8)]
+        return self.ratio[codes[:-1], codes[1:]]
+
     def score(self, run: str) -> float:
         """Mean log-likelihood ratio of the run's transitions, random over ordinary."""
-        codes = _CODE[np.frombuffer(b" " + run.encode("latin-1", "replace") + b" ", np.uint8)]
-        return float(self.ratio[codes[:-1], codes[1:]].mean())
+        return float(self.ratios(run).mean())
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
-        """Runs that look random and don't touch a span of the fixed patterns."""
+        """Runs that look random, and of runs that touch spans of the fixed patterns each piece beside these that does."""
         found = []
         for m in _RUN.finditer(text):
             run, (a, b) = m[0], m.span()
-            if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-                continue
-            if any(a < y and x < b for _, x, y in base):
+            pieces, at = [], a
+            for x, y in sorted((x, y) for _, x, y in base if a < y and x < b):
+                if x > at:
+                    pieces.append((at, x))
+                at = max(at, y)
+            if at < b:
+                pieces.append((at, b))
+            pieces = [(x, y) for x, y in pieces if any(c.isalpha() for c in text[x:y])]
+            if not pieces:
                 continue
-            if self.score(run) > self.threshold:
-                found.append(("markov", a, b))
+            ratios = self.ratios(run)
+            for x, y in pieces:
+                own = ratios[x - a : y - a + 1]
+                if own.sum() > self.threshold * max(len(own), LEAST_TRANSITIONS):
+                    found.append(("markov", x, y))
         return found
 
 

@@ -57,3 +57,15 @@ def test_markov_spans_keep_off_base_spans(spark):
     base = secrets.base_spans(t)
     assert [s[0] for s in base] == ["assign"]
     assert [t[a:b] for _, a, b in models.spans(t, base)] == ["Zx8Qw2LmN4vB7tYp1RsK6dHj"]
+
+
+def test_pieces_beside_base_spans_and_letters_only(spark):
+    models = secrets.train(cases.table(spark))
+    rng = random.Random(6)
+    draw = lambda n, alphabet=string.ascii_letters + string.digits: "".join(rng.choice(alphabet) for _ in range(n))
+    after, before, letters = draw(40), draw(24), draw(40, string.ascii_letters)
+    access, hexes = "AKIA" + draw(16, string.ascii_uppercase + string.digits), draw(32, "abcdef0123456789")
+    for t, want in ((f"a {access}/{after} b", [f"/{after}"]), (f"{before}Z{hexes}Z{after}", [before + "Z", "Z" + after]), (f"x {letters} y", [letters])):
+        assert [t[a:b] for _, a, b in models.spans(t, secrets.base_spans(t))] == want
+    for t in (f"objects/{hexes}/blob", f"md5={hexes}", "AbstractSingletonProxyFactoryBean and antidisestablishmentarianism"):
+        assert models.spans(t, secrets.base_spans(t)) == []

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the embedding table and its width; filters of each width; words that a worker keeps projected.
 BUCKETS, DIM, FILTERS, WIDTHS, KNOWN = 1 << 16, 16, 12, (1, 2, 3), 150_000
+#: Bytes of a word that counts as one; scripts without spaces have longer ones.
+PIECE = 64
 #: Contract's threshold of ``predicted``.
 PREDICTED = 0.7
 
@@ -21,13 +23,16 @@ _COLUMNS = [(w, o) for w in WIDTHS for o in range(w)]
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words in lower case: runs of letters a-z and of characters beyond ASCII."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
+    """Words in lower case: runs of letters a-z and of characters beyond ASCII; those beyond ``PIECE`` bytes in pieces that overlap by half."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
+    if all(len(w) <= PIECE for w in words):
+        return words
+    return [p for w in words for p in ([w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)])]
 
 
 def grams(word: bytes) -> list[int]:
     """Buckets of a word: its own, and those of its runs of three to five bytes with the edges marked."""
-    w = b"<" + word[:64] + b">"
+    w = b"<" + word + b">"
     parts = [word] + [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
     return [zlib.crc32(p) % BUCKETS for p in parts]
 

@@ -59,3 +59,11 @@ def test_query(spark):
     assert toxicity.scored(cases.empty(spark), net).count() == 0
     other = docs.withColumn("lang", docs.source).withColumn("doc_id", docs.doc_id + 1000)
     assert sorted(r.score for r in toxicity.scored(other, net).collect()) == sorted(r.score for r in got)
+
+
+def test_long_words_are_seen_whole():
+    word = "".join(chr(0x4E00 + i) for i in range(500))
+    pieces = toxicity.words_of(word)
+    whole = word.encode()
+    assert max(map(len, pieces)) <= 64 and all(any(whole[i : i + 5] in p for p in pieces) for i in range(0, len(whole) - 4, 7))
+    assert toxicity.words_of("plain words") == [b"plain", b"words"]

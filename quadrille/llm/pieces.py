@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import pickle
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,11 +22,14 @@ SPACE = "▁"
 #: Words whose ids every worker holds: those in the most documents.
 HOT = 400_000
 #: Distinct words that a task counts before it sends them on.
-COUNTED = 250_000
+COUNTED = 500_000
 #: Partitions of distinct words for each shuffle partition: a word makes about 40 rows of its lattice.
 SPREAD = 4
-#: Code points of a word that fit the bits of a long with both ends; longer ones go by ``merge``.
-BITS = 62
+#: Code points of a word that go through the fold: those that fit the bits of a long with both ends, for merges, and
+#: those whose state of paths stays small, for Viterbi. Longer ones go by ``merge`` and ``cheapest``, with the same result.
+BITS, PATHS = 62, 512
+#: What a character without a piece costs beyond the worst piece, in a unigram model.
+PENALTY = 10.0
 
 
 @dataclass(frozen=True)
@@ -41,6 +45,11 @@ class Vocabulary:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.pieces)
 
+    @property
+    def unknown_cost(self) -> float:
+        """Cost of a single character without a piece on a path of least cost."""
+        return PENALTY - min((score for _, _, score in self.pieces), default=0.0)
+
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -63,36 +72,49 @@ class Vocabulary:
         return spark.createDataFrame([(p, i, r) for r, (p, i, _) in enumerate(best)], "piece string, id int, rank int")
 
 
-def words_of(text: str) -> list[str]:
-    """The words of a text, none of whose edges a piece crosses.
+class Cuts:
+    """Cuts texts between characters that stand side by side in no piece.
 
-    A word is what follows a space (or the text's start), its mark left off; one that
-    begins with a line end is that and what follows it, without a mark. Further spaces
-    before a word stand as marks in front of it.
+    No piece spans such a place, so neither a merge nor a path of pieces crosses it: the
+    ids of a text are those of its parts in a row, in any kind of model. Pairs of
+    characters are marks in a table of ``SLOTS``; should two pairs share a slot, a place
+    stays uncut, which is as right.
     """
-    if not text:
-        return []
-    parts = text.replace(SPACE, " ").replace("\n", " \n").split(" ")
-    if text[0] == "\n":
-        parts[0] = ""
-    if "" not in parts:
-        return parts
-    out, empty = [], 0
-    for p in parts:
-        if not p:
-            empty += 1
-        elif p[0] == "\n":
-            out += [SPACE * (empty - 1)] * bool(empty) + [p]
-            empty = 0
-        else:
-            out.append(SPACE * empty + p)
-            empty = 0
-    return out + [SPACE * (empty - 1)] * bool(empty)
-
-
-def _in_words(batches):
+
+    SLOTS = 1 << 20
+
+    def __init__(self, pairs: list[str]):
+        self.pairs = pairs
+        chars = sorted(set("".join(pairs)))
+        self.code = np.zeros(0x110000, np.uint32)
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.inside = np.zeros(self.SLOTS, bool)
+        if pairs:
+            self.inside[self._slots(self.code[[[ord(a), ord(b)] for a, b in pairs]])] = True
+
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> Cuts:
+        return cls(sorted({a + b for p, _, _ in vocabulary.pieces for a, b in zip(p, p[1:])}))
+
+    def __reduce__(self):
+        return Cuts, (self.pairs,)
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs[..., 0] * np.uint32(40503) + pairs[..., 1]) & np.uint32(self.SLOTS - 1)
+
+    def parts(self, text: str | None) -> list[str]:
+        """The parts of a text as pieces see it: marks for spaces, and one before its start. Empty and null texts have none."""
+        if not text:
+            return []
+        marked = SPACE + text.replace(" ", SPACE)
+        code = self.code[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        at = (np.flatnonzero(~self.inside[self._slots(np.stack([code[:-1], code[1:]], 1))]) + 1).tolist()
+        return [marked[a:b] for a, b in zip([0, *at], [*at, len(marked)])]
+
+
+def _in_words(batches, cuts: Cuts):
     """Distinct words of a task's documents with the number of documents they are in."""
-    counts: dict[str, int] = {}
+    counts: Counter[str] = Counter()
 
     def out():
         words = sorted(counts)
@@ -102,33 +124,27 @@ def _in_words(batches):
 
     for batch in batches:
         for t in batch.column(0):
-            for w in set(words_of(t.as_py() or "")):
-                counts[w] = counts.get(w, 0) + 1
+            counts.update(set(cuts.parts(t.as_py())))
             if len(counts) > COUNTED:
                 yield from out()
                 counts.clear()
     yield from out()
 
 
-def _chunk(word: Column) -> Column:
-    """The word as pieces see it: with its mark, or what follows its line end."""
-    return F.when(F.startswith(word, F.lit("\n")), F.substr(word, F.lit(2))).otherwise(F.concat(F.lit(SPACE), word))
-
-
 #: An edge as one long: rank of its piece by score, start, length (6 bits), id. An id of all ones: no piece, one character.
 _RANK, _START, _LENGTH, _ID = 43, 26, 20, 20
 _NONE = (1 << _ID) - 1
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Rows (word, n, edges): every substring of the word's chunk that is a piece, or a single character.
+    """Rows (word, n, edges): every substring of the word that is a piece, or a single character.
 
     Substrings of bounded length are exploded, met with the piece table by equality, and
     grouped by word: ``words`` (word, n) is already dealt by word, so no row moves again.
-    Edges are longs, in the order of score, then start; chunks that don't fit have none.
+    Edges are longs, in the order of score, then start; words that don't fit have none.
     """
     n = F.length("chunk")
-    x = words.select("word", "n", _chunk(F.col("word")).alias("chunk"))
+    x = words.select("word", "n", F.col("word").alias("chunk"))
     x = x.select("word", "n", "chunk", F.explode_outer(F.when(_fits(n, vocabulary), F.sequence(F.lit(0), n - 1))).alias("s"))
     x = x.select("word", "n", "chunk", "s", F.explode_outer(F.when(F.col("s").isNotNull(), F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), n - F.col("s"))))).alias("k"))
     x = x.select("word", "n", "s", "k", F.substring("chunk", F.col("s") + 1, F.col("k")).alias("piece"))
@@ -143,7 +159,7 @@ def _bits(x: Column, low: int, wide: int) -> Column:
 
 
 def _fits(n: Column, vocabulary: Vocabulary) -> Column:
-    return n.between(1, (1 << 17) - 1 if vocabulary.unigram else BITS)
+    return n <= (PATHS if vocabulary.unigram else BITS)
 
 
 def _ids(chunk: Column, kept: Column, vocabulary: Vocabulary) -> Column:
@@ -167,11 +183,11 @@ def merged(lattices: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     The state is the set of cuts between characters, a bit each. The best-scored edge
     comes first, ties from the left; an edge that spans two neighbouring symbols removes
-    the cut between them. left: chunks that don't fit, and those with an edge that still
+    the cut between them. left: words that don't fit, and those with an edge that still
     could, which a model whose parts score below their wholes might leave; these go by
     ``merge``.
     """
-    x = lattices.withColumn("chunk", _chunk(F.col("word")))
+    x = lattices.withColumn("chunk", F.col("word"))
 
     def masks(e):
         s = _bits(e, _START, 17)
@@ -192,11 +208,12 @@ def best_path(lattices: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Rows (word, n, ids, left): each lattice folded into its path of least cost (Viterbi), as a unigram model segments.
 
     The state holds, for every place, the least cost of reaching it and the edges on the
-    way; edges come by their end, then their start, and the longer edge wins a tie.
+    way; edges come by their end, then their start, and the longer edge wins a tie. left:
+    words that don't fit, which go by ``cheapest``.
     """
-    scores = [-score for _, _, score in sorted(vocabulary.pieces, key=lambda p: (-p[2], p[1]))] + [1e9]
+    scores = [-score for _, _, score in sorted(vocabulary.pieces, key=lambda p: (-p[2], p[1]))] + [vocabulary.unknown_cost]
     costs = F.from_json(F.lit(json.dumps(scores)), "array<double>")
-    x = lattices.withColumn("chunk", _chunk(F.col("word")))
+    x = lattices.withColumn("chunk", F.col("word"))
 
     def read(e):
         s = _bits(e, _START, 17)
@@ -215,7 +232,26 @@ def best_path(lattices: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return F.when(last["at"] == e["e"], better).otherwise(F.concat(state, F.array(now)))
 
     way = F.aggregate("by_end", start, step, lambda s: F.element_at(s, -1)["way"])
-    return x.select("word", "n", _ids(F.col("chunk"), way, vocabulary).alias("ids"), F.lit(False).alias("left"))
+    fits = _fits(F.length("chunk"), vocabulary)
+    return x.select("word", "n", F.when(fits, _ids(F.col("chunk"), way, vocabulary)).alias("ids"), (~fits).alias("left"))
+
+
+def cheapest(chunk: str, costs: dict[str, tuple[float, int]], longest: int, unknown_cost: float, byte_ids: tuple[int, ...]) -> list[int]:
+    """The path of least cost through one chunk of any length; the longer edge wins a tie."""
+    n = len(chunk)
+    cost, came = [0.0] + [float("inf")] * n, [0] * (n + 1)
+    for e in range(1, n + 1):
+        for s in range(max(0, e - longest), e):
+            own = costs.get(chunk[s:e])
+            step = own[0] if own else unknown_cost if e - s == 1 else None
+            if step is not None and cost[s] + step < cost[e]:
+                cost[e], came[e] = cost[s] + step, s
+    out: list[list[int]] = []
+    while n:
+        piece = chunk[came[n] : n]
+        out.append([costs[piece][1]] if piece in costs else [byte_ids[x] for x in piece.encode("utf-8", "surrogatepass")])
+        n = came[n]
+    return [i for part in reversed(out) for i in part]
 
 
 def merge(chunk: str, ranks: dict[str, tuple[float, int]], byte_ids: tuple[int, ...]) -> list[int]:
@@ -252,23 +288,21 @@ def merge(chunk: str, ranks: dict[str, tuple[float, int]], byte_ids: tuple[int,
 def dictionary(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Rows (word, n, ids) for distinct words (columns word, n), dealt by word; ids as little-endian bytes of ``_kind``.
 
-    Words of up to ``BITS`` characters go through the lattice and its fold; longer ones,
-    and any the fold leaves undone, are merged one by one by the same rule (a unigram
-    model has no such limit).
+    Words of up to ``BITS`` (unigram: ``PATHS``) characters go through the lattice and its
+    fold; longer ones, and any the fold leaves undone, go one by one by the same rule.
     """
     folded = (best_path if vocabulary.unigram else merged)(lattice(words, vocabulary), vocabulary)
     shared = words.sparkSession.sparkContext.broadcast({p: (-score, i) for p, i, score in vocabulary.pieces})
-    byte_ids, kind = vocabulary.byte_ids, _kind(vocabulary)
+    byte_ids, kind, unigram, longest, unknown_cost = vocabulary.byte_ids, _kind(vocabulary), vocabulary.unigram, vocabulary.longest, vocabulary.unknown_cost
 
     def run(batches):
         ranks = shared.value
         for batch in batches:
             packed = []
             for w, ids, left in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                line = w[:1] == "\n"
                 if left:
-                    ids = merge(w[1:] if line else SPACE + w, ranks, byte_ids)
-                packed.append(np.array([byte_ids[10], *ids] if line else ids, kind).tobytes())
+                    ids = cheapest(w, ranks, longest, unknown_cost, byte_ids) if unigram else merge(w, ranks, byte_ids)
+                packed.append(np.array(ids, kind).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["word", "n", "ids"])
 
     return folded.mapInArrow(run, "word string, n long, ids binary")
@@ -344,43 +378,52 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def _grade(n: Column) -> Column:
+    """An order of magnitude of a count, an eighth of a power of two wide: a few hundred values whatever the counts."""
+    return F.floor(F.log2(n) * 8).cast("int")
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """Rows (doc_id, ids, round_trip): the ids of every whole text, as the model's own library gives them.
 
-    Null and empty texts have no ids. round_trip: whether the ids decode to the text.
-    Every distinct word of the corpus is encoded once, in ``dictionary``; documents then
+    Null and empty texts have no ids; an empty table gives no rows. round_trip: whether
+    the ids decode to the text. Texts are cut where no piece can cross (``Cuts``), and
+    each distinct part, here a word, is encoded once, in ``dictionary``; documents then
     take their ids from two parts of it: at most ``hot`` words that are in the most
     documents, which every worker holds, and each document's other words, joined by
-    word and grouped by document. Texts are compressed before they meet those. Rows that
-    repeat are encoded alike; they are told apart by id and text.
+    word and grouped by document, where a word's place among them stands for it. Texts
+    are compressed before they meet those. Rows that repeat are encoded alike; they are
+    told apart by id and text.
     """
     spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
+    text, cuts = F.col(text_col).cast("string"), Cuts.of(vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
-    counted = rows.select("text").mapInArrow(lambda it: _in_words(it), "word string, n long")
+    counted = rows.select("text").mapInArrow(lambda it: _in_words(it, cuts), "word string, n long")
     parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = counted.repartition(parts, "word").groupBy("word").agg(F.sum("n").alias("n"))
     table, _ = written(dictionary(counted, vocabulary), "pieces")
 
     least, total = 0, 0
-    for r in sorted(table.groupBy("n").count().collect(), key=lambda r: -r["n"]):
+    for r in sorted(table.groupBy(_grade(F.col("n")).alias("grade")).count().collect(), key=lambda r: -r["grade"]):
         total += r["count"]
         if total > hot:
-            least = r["n"] + 1
+            least = r["grade"] + 1
             break
-    blobs = table.where(F.col("n") >= least).select("word", "ids").mapInArrow(lambda it: _packed(it), "blob binary").collect()
+    known_to_all = _grade(F.col("n")) >= least
+    blobs = table.where(known_to_all).select("word", "ids").mapInArrow(lambda it: _packed(it), "blob binary").collect()
     shared = _Shared(spark.sparkContext.broadcast([bytes(r["blob"]) for r in blobs]))
     kind, spelled = _kind(vocabulary), decoder(vocabulary)
 
     def rare(batches):
         known = _held(shared)
         for batch in batches:
-            keys, words = [], []
+            keys, places, words = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = sorted({w for w in words_of(t.as_py() or "") if w not in known})
+                own = sorted(set(cuts.parts(t.as_py())).difference(known))
                 keys += [k] * len(own)
+                places += range(len(own))
                 words += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string())], ["key", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], ["key", "place", "word"])
 
     def pack(batches):
         for batch in batches:
@@ -390,13 +433,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     def run(batches):
         known, z = _held(shared), zstandard.ZstdDecompressor()
+        get = known.get
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids, sizes, trips = [], [], []
             for data, own in zip(batch.column(1), batch.column(2)):
                 t = z.decompress(data.as_buffer()).decode("utf-8", "surrogatepass") if data.is_valid else ""
-                own = own.as_py()
-                own = dict(zip(own["words"], own["ids"])) if own else {}
-                found = b"".join([known[w] if w in known else own[w] for w in words_of(t)])
+                words = cuts.parts(t)
+                if own.is_valid:
+                    its = dict(zip(sorted(set(words).difference(known)), (x["ids"] for x in sorted(own.as_py(), key=lambda x: x["place"]))))
+                    found = b"".join([get(w) or its[w] for w in words])
+                else:
+                    found = b"".join([known[w] for w in words])
                 ids.append(found)
                 one = np.frombuffer(found, kind).tolist()
                 sizes.append(len(one))
@@ -405,9 +452,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(trips)], ["doc_id", "ids", "round_trip"])
 
-    wanted = rows.select("key", "text").mapInArrow(rare, "key long, word string")
-    pair = F.collect_set(F.struct("word", "ids")).alias("pairs")
-    own = wanted.join(table.select("word", "ids"), "word").groupBy("key").agg(pair)
-    own = own.select("key", F.struct(F.col("pairs.word").alias("words"), F.col("pairs.ids").alias("ids")).alias("own"))
+    wanted = rows.select("key", "text").mapInArrow(rare, "key long, place int, word string")
+    own = wanted.join(table.where(~known_to_all).select("word", "ids"), "word").groupBy("key").agg(F.collect_set(F.struct("place", "ids")).alias("own"))
     texts = rows.select("doc_id", "key", "text").mapInArrow(pack, "doc_id long, key long, z binary")
     return texts.join(own, "key", "left").select("doc_id", "z", "own").mapInArrow(run, "doc_id long, ids array<int>, round_trip boolean")

@@ -38,28 +38,87 @@ def test_decoding(spark):
         assert r.text == (None if r.doc_id is None else (rows[r.doc_id][2] or "").replace("▁", " "))
 
 
+SCORE, ID = {p: s for p, _, s in MODEL.pieces}, {p: i for p, i, _ in MODEL.pieces}
+WORST = min(SCORE.values()) - 10
+LONGEST = MODEL.longest
+
+
+def best(chunk, model):
+    """Least cost from the start, place by place; the longer piece wins a tie."""
+    score, ids, worst = SCORE, ID, WORST
+    states = [(0.0, None, 0)]
+    for e in range(1, len(chunk) + 1):
+        edges = [(states[s][0] - score.get(chunk[s:e], worst), s) for s in range(max(0, e - LONGEST), e) if chunk[s:e] in score or e - s == 1]
+        states.append((*min(edges), 0))
+    out, e = [], len(chunk)
+    while e:
+        s = states[e][1]
+        p = chunk[s:e]
+        out.append([ids[p]] if p in ids else [model.byte_ids[b] for b in p.encode()])
+        e = s
+    return [i for x in reversed(out) for i in x]
+
+
 def test_viterbi_against_brute_force(spark):
-    score = {p: s for p, _, s in MODEL.pieces}
-    ids = {p: i for p, i, _ in MODEL.pieces}
-
-    def best(chunk):
-        states = [(0.0, ())] + [None] * len(chunk)
-        for e in range(1, len(chunk) + 1):
-            for s in range(max(0, e - 16), e):
-                p = chunk[s:e]
-                if p in score or e - s == 1:
-                    cost = states[s][0] - score.get(p, -1e9)
-                    if states[e] is None or cost < states[e][0]:
-                        states[e] = (cost, (*states[s][1], p))
-        return [i for p in states[-1][1] for i in ([ids[p]] if p in ids else [MODEL.byte_ids[b] for b in p.encode()])]
-
-    rows = [(i, t) for i, t in enumerate(texts()[:250])]
-    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), dataclasses.replace(MODEL, unigram=True)).collect()
+    rows = [(i, t) for i, t in enumerate(texts()[:250] + ["the" * 400 + " end"])]
+    unigram = dataclasses.replace(MODEL, unigram=True)
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), unigram).collect()
+    cuts = pieces.Cuts.of(unigram)
     for r in got:
-        want = []
-        for w in pieces.words_of(rows[r.doc_id][1]):
-            want += [MODEL.byte_ids[10], *(best(w[1:]) if w[1:] else [])] if w[:1] == "\n" else best("▁" + w)
-        assert r.ids == want
+        assert r.ids == [i for part in cuts.parts(rows[r.doc_id][1]) for i in best(part, unigram)]
+
+
+def test_cuts_cross_no_piece():
+    """Pieces put side by side are cut only where no piece spans, and parts make up the text."""
+    rng, cuts = random.Random(5), pieces.Cuts.of(MODEL)
+    names = [p for p, _, _ in MODEL.pieces]
+    spanning = {p for p in names if len(p) > 1}
+    for _ in range(300):
+        text = "".join(rng.choices(names, k=12)).replace("▁", " ")
+        parts = cuts.parts(text)
+        whole = "▁" + text.replace(" ", "▁")
+        assert "".join(parts) == whole
+        at = 0
+        for part in parts[:-1]:
+            at += len(part)
+            assert not any(whole[s:e] in spanning for s in range(max(0, at - LONGEST), at) for e in range(at + 1, min(len(whole), s + LONGEST) + 1))
+
+
+def test_words_of_200_000_letters(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices(["the", "in", "er", "ou", "a"], k=200_000))[:200_000]
+    docs = spark.createDataFrame([(0, long), (1, "z" * 200_000)], "doc_id long, text string")
+    for r in pieces.encode(docs, MODEL).collect():
+        assert r.round_trip and r.ids == LIBRARY.encode(docs.where(f"doc_id = {r.doc_id}").first().text)
+    unigram = dataclasses.replace(MODEL, unigram=True)
+    cuts = pieces.Cuts.of(unigram)
+    for r in pieces.encode(docs, unigram).collect():
+        text = long if r.doc_id == 0 else "z" * 200_000
+        assert r.round_trip and r.ids == [i for part in cuts.parts(text) for i in best(part, unigram)]
+
+
+def test_a_unigram_models_library(spark, tmp_path):
+    """A unigram model of hand-written pieces gives the ids of the library."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(open(PATH, "rb").read())
+    kind = pb.ModelProto.SentencePiece
+    words = ["▁", "▁th", "▁the", "e", "h", "t", "he", "in", "i", "n", "▁in", "er", "r", "a", "▁a", "foo", "f", "o", "oo", "1", "ﬁ"]
+    others = [p for p in model.pieces if p.type not in (kind.NORMAL, kind.USER_DEFINED)]
+    del model.pieces[:]
+    for p in others:
+        model.pieces.add().CopyFrom(p)
+    for k, w in enumerate(words):
+        model.pieces.add(piece=w, score=-1.0 - (7 * k % 11) / 3, type=kind.NORMAL)
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    own, library = pieces.Vocabulary.load(str(path)), sentencepiece.SentencePieceProcessor(model_file=str(path))
+    assert own.unigram
+    rows = list(enumerate(texts()[:300]))
+    for r in pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), own).collect():
+        assert r.ids == library.encode(rows[r.doc_id][1] or ""), rows[r.doc_id][1]
 
 
 def test_empty(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -177,10 +178,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Texts that share J = 0.8 of their shingles have a cosine of 2J / (1 + J) = 0.89, an angle of 0.15 pi, and 38 of 256 bits.
 #: About half of such pairs differ in more, so ``one_of_each`` doesn't use them; its shingles have as many words.
 STAGE_WIDTH, STAGE_LANES, STAGE_BITS = 5, 4, 38
-#: Shingles in more prefixes than ``COMMON`` go to the end of the order of shingles; they are marked in a table of ``SLOTS`` bits.
+#: Shingles in more prefixes than ``COMMON`` go to the end of the order of shingles. Tables of marks have ``SLOTS`` bits, whatever the input:
+#: a mark that another value has set costs time, never a result.
 COMMON, SLOTS = 2, 1 << 24
 
 
+class Marks:
+    """A broadcast table of bits: which values of a column are marked, and perhaps some others."""
+
+    def __init__(self, found: DataFrame):
+        """``found`` has one column of longs. At most ``SLOTS`` numbers come to the driver."""
+        self.slots = SLOTS
+        slots = found.toDF("x").select(F.col("x").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+        bits = np.zeros(SLOTS, np.uint8)
+        bits[slots] = 1
+        self.shared = found.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        slots = values & (self.slots - 1)
+        return (np.frombuffer(self.shared.value, np.uint8)[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+    def column(self, name: str):
+        """Whether a row's value is marked, as a column."""
+
+        @F.pandas_udf("boolean")
+        def marked(values: pd.Series) -> pd.Series:
+            return pd.Series(self.of(values.to_numpy()))
+
+        return marked(name)
+
+
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = STAGE_WIDTH) -> DataFrame:
     """Rows (doc_id, h, key, shingles): the distinct shingle hashes of every whole text, ascending; key: a hash of that set; h: of the text."""
 
@@ -209,27 +236,24 @@ def candidates(sets: DataFrame) -> DataFrame:
 
     Two such sets share a shingle within their prefixes, whatever the order of all
     shingles. Here common ones come last, so that a passage of many texts joins only
-    texts that consist of little else. A list is sorted by size and cut where the next
+    texts that consist of little else; common is what a count of all prefixes, by 31 bits
+    of the hash, finds often. A list is sorted by size and cut where the next
     set is too large for the one before, and so for all before; neighbours are joined.
     """
     head = F.slice("shingles", 1, F.size("shingles") - F.floor((F.size("shingles") * 4 + 4) / 5).cast("int") + 1)
-    often = sets.where(F.size("shingles") > 0).select(F.explode(head).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
-    slots = often.select(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    marks = np.zeros(SLOTS, np.uint8)
-    marks[slots] = 1
-    common = sets.sparkSession.sparkContext.broadcast(np.packbits(marks).tobytes())
+    often = sets.where(F.size("shingles") > 0).select(F.explode(head).alias("s")).select(F.col("s").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("s"))
+    common = Marks(often.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select(F.col("s").cast("long")))
 
     def post(batches):
-        last = np.unpackbits(np.frombuffer(common.value, np.uint8)).view(bool)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 lists = some.column(1)
                 ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
                 out, sizes = [], np.diff(ends)
+                last = common.of(flat)
                 for a, b in zip(ends[:-1], ends[1:]):
-                    x = flat[a:b]
-                    late = last[x & (SLOTS - 1)]
+                    x, late = flat[a:b], last[a:b]
                     out.append(np.concatenate([x[~late], x[late]])[: least_prefix(b - a)])
                 n = np.array([len(x) for x in out], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(np.repeat(some.column(0).to_numpy(), n))], ["s", "n", "key"])
@@ -280,14 +304,23 @@ def alike(sets: list[np.ndarray]):
 def similar(sets: DataFrame) -> DataFrame:
     """Edges (a, b) of keys that span the groups of sets (key, shingles) linked by J >= 0.8: exact, but for equal 64-bit hashes.
 
-    Groups of candidates come together with their sets; larger ones than ``BLOCK`` are dealt as pairs of blocks.
+    ``sets`` is read anew for each step rather than kept: it is larger than the texts.
+    Groups of candidates come together with their sets, those of other keys staying where
+    they are; larger groups than ``BLOCK`` are dealt as pairs of blocks. Joins are by
+    sorting, so that adaptive execution splits a hot group's.
     """
     groups, _ = written(components(candidates(sets)), "groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("own", j), F.greatest("own", j)))
-    dealt = groups.join(sizes, "root").withColumn("own", own).select(F.col("node").alias("key"), F.explode(pairs).alias("part"))
-    members = sets.select("key", "shingles").join(groups.select(F.col("node").alias("key")), "key", "left_semi").dropDuplicates(["key"]).join(dealt, "key")
+    dealt = groups.join(sizes.hint("merge"), "root").withColumn("own", own).select(F.col("node").alias("key"), F.explode(pairs).alias("part"))
+    in_groups = Marks(groups.select("node"))
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_groups.of(batch.column(0).to_numpy())))
+
+    members = sets.select("key", "shingles").mapInArrow(some, "key long, shingles array<long>").dropDuplicates(["key"]).join(dealt.hint("merge"), "key")
 
     def run(batches):
         part, keys, held = None, [], []
@@ -318,12 +351,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, as it is: that of the smallest doc_id (null ids last), then text hash.
 
     Links are texts whose sets of five-word shingles have J >= 0.8, every such pair. Rows that
-    repeat a doc_id and text are one document. Texts without words are one group.
+    repeat a doc_id and text are one document, of which any row stays. Texts without words,
+    null ones among them, are one group. An empty table gives none. Columns may have any
+    names. Only rows that may go are moved; the others stay where they are read.
     """
-    sets, _ = written(shingle_sets(docs), "sets")
-    stars = components(similar(sets))
-    found = sets.select("doc_id", "h", "key").join(stars, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")
-    kept = found.groupBy("group").agg(first).select(F.col("x.none").alias("_none"), F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.h").alias("_h")).distinct()
-    rows = docs.withColumns({"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_h": F.xxhash64("text")})
-    return rows.dropDuplicates(["_none", "_id", "_h"]).join(kept, ["_none", "_id", "_h"], "left_semi").select(*docs.columns)
+    sets = shingle_sets(docs)
+    prints, _ = written(sets.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "key"), "prints")
+    stars = components(similar(sets.select("key", "shingles")))
+    found = prints.join(stars.hint("merge"), F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
+    first = F.min(F.struct("none", "id", "h")).alias("x")
+    kept, _ = written(found.groupBy("group").agg(first).select("x.*").distinct(), "kept")
+    ids = ["none", "id", "h"]
+    slot = F.xxhash64(*ids)
+    doubtful = prints.groupBy(*ids).agg(F.count("*").alias("times")).join(kept.withColumn("stays", F.lit(True)).hint("merge"), ids, "left").where("times > 1 or stays is null")
+    marks = Marks(doubtful.select(slot))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("h")).withColumn("slot", slot)
+    marked = marks.column("slot")
+    moved = rows.where(marked).dropDuplicates(ids).join(kept.hint("merge"), ids, "left_semi")
+    return rows.where(~marked).select("row.*").unionAll(moved.select("row.*"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from quadrille.llm import neardup
 from quadrille.llm.graph import components
@@ -90,6 +91,26 @@ def test_one_of_each(spark):
     assert neardup.one_of_each(cases.empty(spark)).count() == 0
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    names = ["_id", "_h", "_none", "row", "none", "id", "h", "slot", "key", "group", "part", "a.b"]
+    docs = cases.table(spark)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    columns = [f"`{c}`" for c in docs.columns]
+    kept = neardup.one_of_each(docs)
+    assert kept.schema == docs.schema
+    assert kept.count() == neardup.one_of_each(cases.table(spark)).count()
+    assert kept.select(*columns).exceptAll(docs.select(*columns)).count() == 0
+
+
+def test_full_marks_change_nothing(spark, monkeypatch):
+    """Marks are a shortcut: with a table of one bit, every row goes the long way."""
+    docs = cases.table(spark)
+    want = sorted((str(r) for r in neardup.one_of_each(docs).collect()))
+    monkeypatch.setattr(neardup, "SLOTS", 8)
+    assert sorted((str(r) for r in neardup.one_of_each(docs).collect())) == want
+
+
 def test_wide_prints_find_similar_texts():
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in rng.integers(0, 3000, 400)]

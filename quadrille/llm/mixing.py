@@ -10,8 +10,12 @@ from .common import written
 
 #: Bits of a draw and of a place, from an md5 digest.
 BITS = 52
-#: Up to so many sources, their table is broadcast; beyond, it is joined under this many salts.
-BROADCAST_SOURCES, SALTS = 10_000, 64
+#: Up to so many values of all sources' distribution functions (8 MB), their table is broadcast; beyond, it is joined under this many salts.
+BROADCAST_VALUES, SALTS = 1_000_000, 64
+#: A larger mean is drawn as the sum of so many equal, independent parts that none is larger, which bounds a distribution's table.
+LARGEST = 4096
+#: Copies of one part are numbered within this many, far more than its distribution has.
+STRIDE = 2 * LARGEST
 
 
 def draw(*parts: Column | str | int) -> Column:
@@ -46,48 +50,56 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float = 1.0, epoc
 
 
 def distributions(table: DataFrame) -> DataFrame:
-    """(source, rate) with cdf: the Poisson distribution function at 0, 1, 2, ... up to where a double can't tell it from 1.
+    """(source, rate) with parts, cdf: the Poisson distribution function of one part at 0, 1, 2, ... up to where a double can't tell it from 1.
 
-    Each source's values are rows first, summed by windows in logarithms, so that large
-    rates don't underflow.
+    A rate up to ``LARGEST`` has one part, itself. Each source's values are rows first,
+    summed by windows in logarithms, so that large rates don't underflow.
     """
-    top = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24)
-    k = table.select("source", "rate", F.explode(F.sequence(F.lit(0).cast("long"), top)).alias("k"))
+    parts = F.greatest(F.ceil(F.col("rate") / LARGEST), F.lit(1)).cast("long")
+    table = table.select("source", "rate", parts.alias("parts")).withColumn("mean", F.col("rate") / F.col("parts"))
+    top = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 24)
+    k = table.select("*", F.explode(F.sequence(F.lit(0).cast("long"), top)).alias("k"))
     by = W.Window.partitionBy("source", "rate").orderBy("k")
-    log = F.when(F.col("rate") > 0, -F.col("rate") + F.col("k") * F.log("rate") - F.sum(F.log(F.greatest("k", F.lit(1)))).over(by))
-    p = F.when(F.col("rate") > 0, F.exp(log)).otherwise(F.when(F.col("k") == 0, 1.0).otherwise(0.0))
+    log = F.when(F.col("mean") > 0, -F.col("mean") + F.col("k") * F.log("mean") - F.sum(F.log(F.greatest("k", F.lit(1)))).over(by))
+    p = F.when(F.col("mean") > 0, F.exp(log)).otherwise(F.when(F.col("k") == 0, 1.0).otherwise(0.0))
     summed = k.withColumn("p", p).withColumn("c", F.sum("p").over(by))
-    listed = summed.groupBy("source", "rate").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("x"))
-    return listed.select("source", "rate", F.col("x.c").alias("cdf"))
+    listed = summed.groupBy("source", "rate", "parts").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("x"))
+    return listed.select("source", "rate", "parts", F.col("x.c").alias("cdf"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, default: float = 1.0, epochs: float = 1.0, seed: int = 0) -> DataFrame:
     """``docs`` with each row repeated a Poisson number of times, in one global random order.
 
     Each document draws from a hash of the seed and its doc_id; its copies are how often
-    the distribution function of its source's rate is at or below the draw. Every copy
-    then has a place, another hash; rows are dealt to partitions by equal ranges of
-    places, which needs no sample, and sorted. Two columns are added, copy (from 1) and
-    place, with an underscore behind where a name is taken. Rows with equal ids draw
-    alike; null ids draw as one id. An empty table gives none.
+    the distribution function of its source's rate is at or below the draw. (A rate above
+    ``LARGEST`` is a sum of parts, with a draw each.) Every copy then has a place, another
+    hash; rows are dealt to partitions by equal ranges of places, which needs no sample,
+    and sorted. Two columns are added, copy (long, from 1; those of a further part from
+    the next multiple of ``STRIDE``) and place, with an underscore behind where a name is
+    taken; docs' columns may have any names. Null and empty texts have the size of their
+    end alone. Rows with equal ids draw alike, repeated rows too; null ids draw as one id.
+    An empty table gives none.
     """
     spark = docs.sparkSession
     copy, place = free_name("copy", docs.columns), free_name("place", docs.columns)
     table, _ = written(distributions(rates(docs.select("source", "text"), weights or {}, default, epochs)), "rates")
-    sources = table.count()
+    values = table.agg(F.sum(F.size("cdf").cast("long"))).first()[0] or 0
     doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    table = table.select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
-    if sources <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", F.col("doc_id").alias("own"), doc_id.alias("id"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int").alias("salt"))
+    table = table.select(F.col("source").alias("of"), "parts", "cdf")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if values <= BROADCAST_VALUES:
+        joined = rows.join(F.broadcast(table), same)
     else:
-        salted = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        own = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")
-        joined = docs.withColumn("_own", own).join(salted, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt")))
-    u = draw(seed, doc_id) / F.lit(float(1 << BITS))
-    times = F.size(F.filter("_cdf", lambda c: c <= u))
-    copies = joined.select(*[docs[c] for c in docs.columns], times.alias("_times")).where("_times > 0")
-    copies = copies.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias(copy))
-    copies = copies.withColumn(place, draw(seed, F.lit("place"), doc_id, F.col(copy).cast("string")))
+        salted = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part_salt"))
+        joined = rows.join(salted, same & (F.col("salt") == F.col("part_salt")))
+    first = joined.select("row", "own", "id", "cdf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    u = F.when(F.col("part") == 0, draw(seed, F.col("id"))).otherwise(draw(seed, F.lit("part"), F.col("id"), F.col("part").cast("string"))) / F.lit(float(1 << BITS))
+    times = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    counted = first.withColumn("u", u).select("row", "own", "id", "part", times.cast("long").alias("times")).where("times > 0")
+    copies = counted.select("row", "own", "id", F.explode(F.sequence(F.col("part") * STRIDE + 1, F.col("part") * STRIDE + F.col("times"))).alias("copy"))
+    copies = copies.withColumn("place", draw(seed, F.lit("place"), F.col("id"), F.col("copy").cast("string")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part = (F.col(place) / F.lit(float(1 << BITS)) * n).cast("int")
-    return copies.repartitionById(n, part).sortWithinPartitions(place, "doc_id", copy)
+    part = (F.col("place") / F.lit(float(1 << BITS)) * n).cast("int")
+    dealt = copies.select("row", "own", "copy", "place").repartitionById(n, part).sortWithinPartitions("place", "own", "copy")
+    return dealt.select("row.*", F.col("copy").alias(copy), F.col("place").alias(place))

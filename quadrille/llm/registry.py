@@ -37,7 +37,7 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0}
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(table(spark, sf_dir, "documents"), WEIGHTS)
-    return found.select("doc_id", "source", "copy", "place", "text")
+    return found.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "place", "text")
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@ import pickle
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,12 @@ from .common import written
 
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
-#: Words whose ids every worker holds: those in the most documents.
+#: Words whose ids every worker holds: those in the most portions of texts.
 HOT = 400_000
 #: Distinct words that a task counts before it sends them on.
 COUNTED = 500_000
+#: Bytes of texts that a worker cuts at once.
+AT_ONCE = 2 << 20
 #: Partitions of distinct words for each shuffle partition: a word makes about 40 rows of its lattice.
 SPREAD = 4
 #: Code points of a word that go through the fold: those that fit the bits of a long with both ends, for merges, and
@@ -77,20 +81,20 @@ class Cuts:
 
     No piece spans such a place, so neither a merge nor a path of pieces crosses it: the
     ids of a text are those of its parts in a row, in any kind of model. Pairs of
-    characters are marks in a table of ``SLOTS``; should two pairs share a slot, a place
+    characters are marks in a table of slots; should two pairs share a slot, a place
     stays uncut, which is as right.
     """
 
-    SLOTS = 1 << 20
+    LOG_SLOTS = 20
 
     def __init__(self, pairs: list[str]):
         self.pairs = pairs
         chars = sorted(set("".join(pairs)))
         self.code = np.zeros(0x110000, np.uint32)
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
-        self.inside = np.zeros(self.SLOTS, bool)
+        self.inside = np.zeros(1 << self.LOG_SLOTS, bool)
         if pairs:
-            self.inside[self._slots(self.code[[[ord(a), ord(b)] for a, b in pairs]])] = True
+            self.inside[self._slots(*(self.code[[ord(p[i]) for p in pairs]] for i in (0, 1)))] = True
 
     @classmethod
     def of(cls, vocabulary: Vocabulary) -> Cuts:
@@ -99,32 +103,58 @@ class Cuts:
     def __reduce__(self):
         return Cuts, (self.pairs,)
 
-    def _slots(self, pairs: np.ndarray) -> np.ndarray:
-        return (pairs[..., 0] * np.uint32(40503) + pairs[..., 1]) & np.uint32(self.SLOTS - 1)
-
-    def parts(self, text: str | None) -> list[str]:
-        """The parts of a text as pieces see it: marks for spaces, and one before its start. Empty and null texts have none."""
-        if not text:
-            return []
-        marked = SPACE + text.replace(" ", SPACE)
-        code = self.code[np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        at = (np.flatnonzero(~self.inside[self._slots(np.stack([code[:-1], code[1:]], 1))]) + 1).tolist()
-        return [marked[a:b] for a, b in zip([0, *at], [*at, len(marked)])]
+    def _slots(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return (first * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77)) >> np.uint32(32 - self.LOG_SLOTS)
+
+    def parts(self, texts: list[str | None]) -> list[list[bytes]]:
+        """The parts of each text as pieces see it, in UTF-8: with marks for spaces, and one before its start. Empty and null texts have none.
+
+        All texts are looked at in one go. Spaces, of which none are left, are then put
+        where a text is cut, and two of them between texts.
+        """
+        marked = [SPACE + t if t else "" for t in texts]
+        chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        chars[chars == 32] = ord(SPACE)
+        code = self.code[chars]
+        apart = ~self.inside[self._slots(code[:-1], code[1:])]
+        ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))[:-1]
+        apart[ends[(ends > 0) & (ends < len(chars))] - 1] = False
+        cuts = np.concatenate([np.flatnonzero(apart) + 1, ends, ends])
+        data = np.insert(chars, cuts, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        return [x.split(b" ") if x else [] for x in data.split(b"  ")] if texts else []
+
+
+def _portions(sizes: list[int]):
+    """Ranges of texts that are worked on at once, about ``AT_ONCE`` bytes each."""
+    begin, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= AT_ONCE:
+            yield begin, i + 1
+            begin, total = i + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _texts(batch, column: int):
+    """(first row, end, texts) of the portions of a batch."""
+    for a, b in _portions(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        yield a, b, batch.column(column).slice(a, b - a).to_pylist()
 
 
 def _in_words(batches, cuts: Cuts):
-    """Distinct words of a task's documents with the number of documents they are in."""
-    counts: Counter[str] = Counter()
+    """Distinct words of a task's documents, and in how many portions of texts each was found."""
+    counts: Counter[bytes] = Counter()
 
     def out():
-        words = sorted(counts)
+        words = list(counts)
         for at in range(0, len(words), 16384):
             some = words[at : at + 16384]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([counts[w] for w in some], pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for t in batch.column(0):
-            counts.update(set(cuts.parts(t.as_py())))
+        for _, _, texts in _texts(batch, 0):
+            counts.update(set(chain.from_iterable(cuts.parts(texts))))
             if len(counts) > COUNTED:
                 yield from out()
                 counts.clear()
@@ -187,21 +217,28 @@ def merged(lattices: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     could, which a model whose parts score below their wholes might leave; these go by
     ``merge``.
     """
-    x = lattices.withColumn("chunk", F.col("word"))
-
-    def masks(e):
-        s = _bits(e, _START, 17)
-        stop = s + _bits(e, _LENGTH, 6)
-        ends = _bit(s).bitwiseOR(_bit(stop))
-        return F.struct(ends.alias("ends"), (_bit(stop) - 1 - (_bit(s + 1) - 1)).alias("inner"), s.alias("s"), _bits(e, 0, _ID).alias("id"))
-
-    x = x.withColumn("masks", F.transform("edges", masks)).withColumn("fits", _fits(F.length("chunk"), vocabulary))
-    every = F.when(F.col("fits"), _bit(F.length("chunk") + 1) - 1).otherwise(F.lit(0).cast("long"))
+    place = lambda e: F.shiftright(e, _LENGTH).bitwiseAND(4095).cast("int")
+    ends, inner = _masks()
+    masks = lambda e: F.struct(F.get(ends, place(e)).alias("ends"), F.get(inner, place(e)).alias("inner"), e.alias("e"))
+    wide = lambda e: F.shiftright(e, _LENGTH).bitwiseAND(63) > 1
+    x = lattices.withColumn("fits", _fits(F.length("word"), vocabulary))
+    x = x.withColumn("masks", F.transform(F.filter("edges", wide), masks))
+    every = F.when(F.col("fits"), _bit(F.length("word") + 1) - 1).otherwise(F.lit(0).cast("long"))
     x = x.withColumn("cuts", F.aggregate("masks", every, lambda c, e: F.when(_joined(c, e), c.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(c)))
     cut = F.col("cuts")
-    kept = F.filter("masks", lambda e: (cut.bitwiseAND(e["inner"]) == 0) & (cut.bitwiseAND(e["ends"]) == e["ends"]))
-    kept = F.sort_array(F.transform(kept, lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id"))))
-    return x.select("word", "n", _ids(F.col("chunk"), kept, vocabulary).alias("ids"), (~F.col("fits") | F.exists("masks", lambda e: _joined(cut, e))).alias("left"))
+    whole = F.filter("masks", lambda e: (cut.bitwiseAND(e["inner"]) == 0) & (cut.bitwiseAND(e["ends"]) == e["ends"]))
+    single = F.filter("edges", lambda e: ~wide(e) & (cut.bitwiseAND(F.get(ends, place(e))) == F.get(ends, place(e))))
+    kept = F.concat(F.transform(whole, lambda e: e["e"]), single)
+    kept = F.sort_array(F.transform(kept, lambda e: F.struct(_bits(e, _START, 17).alias("s"), _bits(e, 0, _ID).alias("id"))))
+    return x.select("word", "n", _ids(F.col("word"), kept, vocabulary).alias("ids"), (~F.col("fits") | F.exists("masks", lambda e: _joined(cut, e))).alias("left"))
+
+
+def _masks() -> tuple[Column, Column]:
+    """Arrays over 64 * start + length of an edge within ``BITS`` characters: bits of its ends, bits between them."""
+    pairs = [(s, s + k if k and s + k <= BITS else None) for s in range(64) for k in range(64)]
+    ends = [0 if e is None else 1 << s | 1 << e for s, e in pairs]
+    inner = [0 if e is None else (1 << e) - (2 << s) for s, e in pairs]
+    return F.from_json(F.lit(json.dumps(ends)), "array<long>"), F.from_json(F.lit(json.dumps(inner)), "array<long>")
 
 
 def best_path(lattices: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -315,14 +352,14 @@ def _kind(vocabulary: Vocabulary) -> str:
 def _packed(batches):
     """A task's words and ids as one compressed list a batch."""
     for batch in batches:
-        data = zstandard.ZstdCompressor().compress(pickle.dumps(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))))
+        data = zstandard.ZstdCompressor().compress(pickle.dumps(dict(zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()))))
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["blob"])
 
 
 @lru_cache(1)
-def _held(shared) -> dict[str, bytes]:
+def _held(shared) -> dict[bytes, bytes]:
     """The words that a worker holds, unpacked once for all its tasks."""
-    found: dict[str, bytes] = {}
+    found: dict[bytes, bytes] = {}
     for blob in shared.value.value:
         found.update(pickle.loads(zstandard.ZstdDecompressor().decompress(blob)))
     return found
@@ -361,6 +398,20 @@ def decoder(vocabulary: Vocabulary) -> list[bytes]:
     return out
 
 
+class _Speller:
+    """Spells many ids at once."""
+
+    def __init__(self, parts: list[bytes]):
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.spelled = np.frombuffer(b"".join(parts), np.uint8)
+
+    def texts(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.spelled[np.repeat(self.begins[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
 def decode_ids(ids: list[int], parts: list[bytes]) -> str:
     """The text of ids, without the space put before it."""
     return b"".join([parts[i] for i in ids])[1:].decode("utf-8", "replace") if ids else ""
@@ -387,12 +438,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     """Rows (doc_id, ids, round_trip): the ids of every whole text, as the model's own library gives them.
 
     Null and empty texts have no ids; an empty table gives no rows. round_trip: whether
-    the ids decode to the text. Texts are cut where no piece can cross (``Cuts``), and
-    each distinct part, here a word, is encoded once, in ``dictionary``; documents then
-    take their ids from two parts of it: at most ``hot`` words that are in the most
-    documents, which every worker holds, and each document's other words, joined by
-    word and grouped by document, where a word's place among them stands for it. Texts
-    are compressed before they meet those. Rows that repeat are encoded alike; they are
+    the ids decode to the text. Texts are cut where no piece can cross (``Cuts``),
+    and each distinct part, here a word, is encoded once, in ``dictionary``; documents
+    then take their ids from two portions of it: at most ``hot`` words, those in most
+    portions of texts, which every worker holds, and each document's other words, joined by word and
+    grouped by document, where a place among them stands for the word. Texts are
+    compressed before they meet those. Rows that repeat are encoded alike; they are
     told apart by id and text.
     """
     spark = docs.sparkSession
@@ -413,17 +464,21 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     blobs = table.where(known_to_all).select("word", "ids").mapInArrow(lambda it: _packed(it), "blob binary").collect()
     shared = _Shared(spark.sparkContext.broadcast([bytes(r["blob"]) for r in blobs]))
     kind, spelled = _kind(vocabulary), decoder(vocabulary)
+    kind_size = np.dtype(kind).itemsize
 
     def rare(batches):
         known = _held(shared)
         for batch in batches:
-            keys, places, words = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = sorted(set(cuts.parts(t.as_py())).difference(known))
-                keys += [k] * len(own)
-                places += range(len(own))
-                words += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], ["key", "place", "word"])
+            for a, b, texts in _texts(batch, 1):
+                keys, places, found = [], [], []
+                lists = cuts.parts(texts)
+                new = set(chain.from_iterable(lists)).difference(known)
+                for k, words in zip(batch.column(0).slice(a, b - a).to_pylist(), lists):
+                    own = sorted(new.intersection(words))
+                    keys += [k] * len(own)
+                    places += range(len(own))
+                    found += own
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.string())], ["key", "place", "word"])
 
     def pack(batches):
         for batch in batches:
@@ -432,25 +487,30 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], ["doc_id", "key", "z"])
 
     def run(batches):
-        known, z = _held(shared), zstandard.ZstdDecompressor()
-        get = known.get
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            ids, sizes, trips = [], [], []
-            for data, own in zip(batch.column(1), batch.column(2)):
-                t = z.decompress(data.as_buffer()).decode("utf-8", "surrogatepass") if data.is_valid else ""
-                words = cuts.parts(t)
-                if own.is_valid:
-                    its = dict(zip(sorted(set(words).difference(known)), (x["ids"] for x in sorted(own.as_py(), key=lambda x: x["place"]))))
-                    found = b"".join([get(w) or its[w] for w in words])
-                else:
-                    found = b"".join([known[w] for w in words])
-                ids.append(found)
-                one = np.frombuffer(found, kind).tolist()
-                sizes.append(len(one))
-                trips.append(decode_ids(one, spelled) == t)
+        known, z, speller = _held(shared), zstandard.ZstdDecompressor(), _Speller(spelled)
+
+        def portion(some):
+            texts = [z.decompress(data.as_buffer()) if data.is_valid else b"" for data in some.column(1)]
+            lists = cuts.parts([t.decode("utf-8", "surrogatepass") for t in texts])
+            found = set(chain.from_iterable(lists))
+            new = found.difference(known)
+            of = {w: known[w] for w in found if w not in new}
+            ids = []
+            for words, own in zip(lists, some.column(2)):
+                if own.is_valid:  # the document's own words, in the order of their places
+                    of.update(zip(sorted(new.intersection(words)), (x["ids"] for x in sorted(own.as_py(), key=lambda x: x["place"]))))
+                ids.append(b"".join([of[w] for w in words]))
             flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(trips)], ["doc_id", "ids", "round_trip"])
+            offsets = np.concatenate([[0], np.cumsum([len(x) // kind_size for x in ids])]).astype(np.int32)
+            if speller.texts(flat) == b"".join([b" " + t for t in texts if t]):
+                trips = [True] * len(texts)
+            else:
+                trips = [decode_ids(np.frombuffer(x, kind).tolist(), spelled).encode("utf-8", "surrogatepass") == t for x, t in zip(ids, texts)]
+            return pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(trips, pa.bool_())], ["doc_id", "ids", "round_trip"])
+
+        for batch in batches:
+            for a, b in _portions(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+                yield portion(batch.slice(a, b - a))
 
     wanted = rows.select("key", "text").mapInArrow(rare, "key long, place int, word string")
     own = wanted.join(table.where(~known_to_all).select("word", "ids"), "word").groupBy("key").agg(F.collect_set(F.struct("place", "ids")).alias("own"))

@@ -18,8 +18,10 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 #: What the models judge: identifier-like runs of this length at least, and what the fixed patterns leave of them, that hold a letter.
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_RUN = 20
+LEAST_RUN = 16
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
+#: What counts as an identifier of ordinary text: such runs of this length at least.
+_IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: A piece with fewer transitions counts as one of so many, the others neutral: a few characters alone are weak evidence.
 LEAST_TRANSITIONS = 9
 
@@ -57,11 +59,25 @@ def transitions(data: bytes) -> np.ndarray:
     return np.bincount(codes[:-1] * SIZE + codes[1:], minlength=SIZE * SIZE)
 
 
+#: Classes of characters: what a random string draws evenly from. The edge is one of its own.
+_CLASSES = ["abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-."]
+_CLASS = np.array([next(k for k, c in enumerate(_CLASSES) if x in c) for x in _ALPHABET] + [len(_CLASSES)])
+#: Counts that stand behind each class of the random model before any labelled value is seen: characters drawn evenly, an edge now and then.
+PRIOR, EDGE_RATE = 20.0, 1 / 30
+#: The threshold where a corpus has fewer than ``LEAST_LABELLED`` labelled values to calibrate it; values are as short as ``LEAST_RUN``.
+THRESHOLD, LEAST_LABELLED = 1.25, 20
+
+
 class Models:
-    """Two first-order chains and the threshold of the mean log-likelihood ratio."""
+    """Two first-order chains and the threshold of the mean log-likelihood ratio.
+
+    The ordinary chain has a probability for each pair of characters. The random one has
+    few examples, so its pairs share what their classes have in common: the probability
+    of the next character's class after this one's, and any character of it alike.
+    """
 
-    def __init__(self, ordinary: np.ndarray, random: np.ndarray, threshold: float = 1.5):
-        self.ratio = self._logs(random, 0.5) - self._logs(ordinary, 0.5)
+    def __init__(self, ordinary: np.ndarray, random: np.ndarray, threshold: float = THRESHOLD):
+        self.ratio = self._tied(random) - self._logs(ordinary, 0.5)
         self.threshold = threshold
 
     @staticmethod
@@ -69,6 +85,16 @@ class Models:
         c = counts.reshape(SIZE, SIZE).astype(float) + alpha
         return np.log(c / c.sum(1, keepdims=True))
 
+    @staticmethod
+    def _tied(counts: np.ndarray) -> np.ndarray:
+        n = len(_CLASSES) + 1
+        size = np.bincount(_CLASS, minlength=n).astype(float)
+        even = np.append(size[:-1] / size[:-1].sum() * (1 - EDGE_RATE), EDGE_RATE)
+        c = np.zeros((n, n))
+        np.add.at(c, (_CLASS[:, None], _CLASS[None, :]), counts.reshape(SIZE, SIZE).astype(float))
+        c += PRIOR * even
+        return np.log(c / c.sum(1, keepdims=True) / size)[_CLASS][:, _CLASS]
+
     def ratios(self, run: str) -> np.ndarray:
         """Log-likelihood ratio of each of the run's transitions, from its edge to its edge, random over ordinary."""
         codes = _CODE[np.frombuffer(b" " + run.encode("latin-1", "replace") + b" ", np.uint8)]
@@ -101,35 +127,67 @@ class Models:
         return found
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans put together where they overlap, so that no character counts twice."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def samples(text: str) -> tuple[list[str], list[str]]:
+    """What a text teaches: identifiers that stand beside all matches of the fixed patterns, and the values that these label."""
+    base = base_spans(text)
+    values = [(b - len(_value(text, (k, a, b))), b) for k, a, b in base]
+    beside, at = [], 0
+    for a, b in _merged([(a, b) for _, a, b in base]):
+        beside.append(text[at:a])
+        at = b
+    return _IDENTIFIER.findall(" ".join([*beside, text[at:]])), [text[a:b] for a, b in _merged(values)]
+
+
 def _count(batches) -> Iterator[pa.RecordBatch]:
-    """Sums of a task's transitions: of values the fixed patterns label as secrets, and of all other text."""
+    """Sums of a task's transitions: of identifiers, and of the values that the fixed patterns label."""
     ordinary, random = (np.zeros(SIZE * SIZE, np.int64) for _ in range(2))
     for batch in batches:
         for t in batch.column(0).to_pylist():
-            if not t:
-                continue
-            ordinary += transitions(t.encode("utf-8", "surrogatepass"))
-            for span in base_spans(t):
-                part = transitions(_value(t, span).encode())
-                random += part
-                ordinary -= np.minimum(part, ordinary)
+            for counts, found in zip((ordinary, random), samples(t or "")):
+                if found:
+                    counts += transitions(" ".join(found).encode())
     cell = np.flatnonzero(ordinary + random)
     yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(ordinary[cell]), pa.array(random[cell])], ["cell", "ordinary", "random"])
 
 
-def random_prior(weight: int = 20_000) -> np.ndarray:
-    """Pair counts of strings whose characters are drawn evenly from hex digits, upper case and digits, all letters and digits, or base64.
+#: Width of a bin of scores, and scores beyond which all are alike, for calibration.
+_BIN, _FAR = 0.05, 12.0
 
-    It keeps the model of random strings defined where a corpus labels few secrets.
-    """
-    counts = np.zeros((SIZE, SIZE))
-    letters, upper, digits = _ALPHABET[:52], _ALPHABET[26:52], _ALPHABET[52:62]
-    for alphabet in ("abcdef" + digits, upper + digits, letters + digits, letters + digits + "+/"):
-        i = np.array([_ALPHABET.index(c) for c in alphabet])
-        counts[np.ix_(i, i)] += weight / 4 / len(i) ** 2
-        counts[EDGE, i] += weight / 100 / len(i)
-        counts[i, EDGE] += weight / 100 / len(i)
-    return counts.reshape(-1)
+
+def _judge(batches, models: Models) -> Iterator[pa.RecordBatch]:
+    """How many runs of a task have each score: those beside the fixed patterns, and labelled values, of ``LEAST_RUN`` characters or more."""
+    counts = np.zeros((2, int(2 * _FAR / _BIN) + 1), np.int64)
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            for row, found in zip(counts, samples(t or "")):
+                for run in found:
+                    if len(run) >= LEAST_RUN:
+                        row[int((min(max(models.score(run), -_FAR), _FAR) + _FAR) / _BIN)] += 1
+    cell = np.flatnonzero(counts.sum(0))
+    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(counts[0][cell]), pa.array(counts[1][cell])], ["cell", "ordinary", "random"])
+
+
+def threshold_of(counts: dict[int, tuple[int, int]]) -> float:
+    """The score at which the shares of ordinary runs at or above it and of labelled values below it have the least sum; the middle of the least such scores."""
+    n = int(2 * _FAR / _BIN) + 1
+    ordinary, random = (np.array([counts.get(k, (0, 0))[i] for k in range(n)], float) for i in (0, 1))
+    if random.sum() < LEAST_LABELLED or not ordinary.sum():
+        return THRESHOLD
+    wrong = (ordinary.sum() - np.cumsum(ordinary) + ordinary) / ordinary.sum() + (np.cumsum(random) - random) / random.sum()
+    least = np.flatnonzero(wrong == wrong.min())
+    least = least[: np.argmax(np.append(np.diff(least), 2) > 1) + 1]
+    return float((least[0] + least[-1]) / 2 * _BIN - _FAR)
 
 
 def identifier_sample(weight: int = 20) -> np.ndarray:
@@ -147,25 +205,36 @@ def identifier_sample(weight: int = 20) -> np.ndarray:
     return counts
 
 
-def train(docs: DataFrame, text_col: str = "text", threshold: float = 1.5) -> Models:
-    """Models from all documents: the fixed patterns label the secrets, everything else is ordinary.
+def train(docs: DataFrame, text_col: str = "text", threshold: float | None = None) -> Models:
+    """Models and their threshold from all documents: the fixed patterns label the secrets, identifiers beside them are ordinary.
 
-    Each task sends one row for each pair of characters it saw; the sums, at most
-    ``SIZE`` squared rows whatever the input, come to the driver. A sample of the standard
-    library's names stands beside the corpus, and evenly drawn strings beside the labelled secrets.
+    Three texts of four, by a hash of the text, are counted: each task sends one row for
+    each pair of characters it saw, and the sums, at most ``SIZE`` squared rows whatever
+    the input, come to the driver. A sample of the standard library's names stands beside
+    the corpus's identifiers. The fourth texts' runs are then scored, and the counts of
+    their scores, a few hundred rows, calibrate the threshold (unless one is given). Sums
+    don't depend on the order of rows; null and empty texts, and an empty table, add nothing.
     """
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: _count(it), "cell int, ordinary long, random long")
-    ordinary, random = identifier_sample(), random_prior()
-    for r in counts.groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("random").alias("random")).collect():
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("held", F.pmod(F.xxhash64("text"), F.lit(4)) == 0)
+    sums = [F.sum(c).alias(c) for c in ("ordinary", "random")]
+    schema = "cell int, ordinary long, random long"
+    ordinary, random = identifier_sample(), np.zeros(SIZE * SIZE)
+    for r in texts.where(~F.col("held")).select("text").mapInArrow(lambda it: _count(it), schema).groupBy("cell").agg(*sums).collect():
         ordinary[r["cell"]] += r["ordinary"]
         random[r["cell"]] += r["random"]
-    return Models(ordinary, random, threshold)
+    if threshold is not None:
+        return Models(ordinary, random, threshold)
+    models = Models(ordinary, random)
+    found = texts.where("held").select("text").mapInArrow(lambda it: _judge(it, models), schema).groupBy("cell").agg(*sums).collect()
+    models.threshold = threshold_of({r["cell"]: (r["ordinary"], r["random"]) for r in found})
+    return models
 
 
 def scan(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, spans): array of (kind, start, end) over each whole text, by start, then kind.
+    """Rows (doc_id, spans): array of (kind, start, end) over each whole text, by start, then kind; one row for each row.
 
     Null texts count as empty and have no spans. Places are code points, ends exclusive.
+    Repeated rows give repeated results; an empty table gives none.
     """
     spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -183,8 +252,8 @@ def scan(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
 
 
 def redacted(docs: DataFrame, models: Models, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of its texts replaced by ``mark`` and n_chars counted again there; other rows and columns as they are."""
-    columns = docs.columns
+    """``docs`` with every span of its texts replaced by ``mark`` and n_chars counted again there; other rows and columns as they are, null and empty texts too."""
+    columns = [c.lower() for c in docs.columns]
     place = columns.index("text")
     chars = columns.index("n_chars") if "n_chars" in columns else None
 

@@ -69,3 +69,66 @@ def test_pieces_beside_base_spans_and_letters_only(spark):
         assert [t[a:b] for _, a, b in models.spans(t, secrets.base_spans(t))] == want
     for t in (f"objects/{hexes}/blob", f"md5={hexes}", "AbstractSingletonProxyFactoryBean and antidisestablishmentarianism"):
         assert models.spans(t, secrets.base_spans(t)) == []
+
+
+def secret_corpus(n=400):
+    """Prose with labelled secrets in every other text."""
+    rng = random.Random(21)
+    out = []
+    for i in range(n):
+        text = cases.prose(rng, 40) + " get_user_name max_tokens_per_batch IntegerOverflowException "
+        if i % 2:
+            value = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24))
+            text += rng.choice([f"password={value}", f'"api_key": "{value}"', f"token: {value} AKIA{value[:16].upper()}"])
+        out.append((i, text))
+    return out
+
+
+def test_training_does_not_depend_on_order(spark):
+    rows = secret_corpus() + [(-1, "token=0123456789abcdef0123456789abcdef0123456789abcdef"), (-2, None), (-3, "")]
+    one = secrets.train(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    two = secrets.train(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5))
+    assert (one.ratio == two.ratio).all() and one.threshold == two.threshold
+    # a value that two patterns match is one labelled value
+    assert secrets.samples(rows[-3][1])[1] == ["0123456789abcdef0123456789abcdef0123456789abcdef"]
+
+
+def test_markov_spans_against_brute_force(spark):
+    """Secrets that no fixed pattern matches are found, identifiers aren't; every span is what a plain reckoning gives."""
+    rng = random.Random(22)
+    rows = secret_corpus()
+    planted = {}
+    for i in range(0, 400, 2):
+        value = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.choice([20, 32, 40])))
+        rows[i] = (i, rows[i][1] + f"sent {value} there")
+        planted[i] = value
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = secrets.train(docs)
+    assert models.threshold != secrets.THRESHOLD
+    index = {c: k for k, c in enumerate(secrets._ALPHABET)}
+
+    def reckoned(text):
+        found = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+            if any(a < m.end() and m.start() < b for _, a, b in brute(text)):
+                continue
+            codes = [secrets.EDGE, *(index[c] for c in m[0]), secrets.EDGE]
+            if any(c.isalpha() for c in m[0]) and sum(models.ratio[a, b] for a, b in zip(codes, codes[1:])) > models.threshold * (len(codes) - 1):
+                found.append(("markov", *m.span()))
+        return found
+
+    hits = 0
+    for r in secrets.scan(docs, models).collect():
+        text = rows[r.doc_id][1]
+        spans = [tuple(s) for s in r.spans]
+        assert [s for s in spans if s[0] != "markov"] == brute(text)
+        own = [s for s in spans if s[0] == "markov"]
+        assert own == reckoned(text) or any(a < y and x < b for _, a, b in own for _, x, y in brute(text))
+        hits += r.doc_id in planted and planted[r.doc_id] in [text[a:b] for _, a, b in own]
+        assert not any("get_user" in text[a:b] or "Integer" in text[a:b] or "tokens" in text[a:b] for _, a, b in own)
+    assert hits >= 0.97 * len(planted)
+
+
+def test_redaction_of_a_column_in_capitals(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1234")], "doc_id long, Text string")
+    assert secrets.redacted(docs, secrets.train(docs, threshold=1.5)).collect()[0].Text == "[SECRET]"

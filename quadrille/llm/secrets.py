@@ -73,11 +73,13 @@ class Models:
 
     The ordinary chain has a probability for each pair of characters. The random one has
     few examples, so its pairs share what their classes have in common: the probability
-    of the next character's class after this one's, and any character of it alike.
+    of the next character's class after this one's, and any character of it alike. A
+    corpus may label one kind of secret only, so the same chain as it is before learning
+    stands beside it, and a run counts by the likelier of both.
     """
 
     def __init__(self, ordinary: np.ndarray, random: np.ndarray, threshold: float = THRESHOLD):
-        self.ratio = self._tied(random) - self._logs(ordinary, 0.5)
+        self.ratio = np.stack([self._tied(random), self._tied(np.zeros(SIZE * SIZE))]) - self._logs(ordinary, 0.5)
         self.threshold = threshold
 
     @staticmethod
@@ -96,13 +98,13 @@ class Models:
         return np.log(c / c.sum(1, keepdims=True) / size)[_CLASS][:, _CLASS]
 
     def ratios(self, run: str) -> np.ndarray:
-        """Log-likelihood ratio of each of the run's transitions, from its edge to its edge, random over ordinary."""
+        """Log-likelihood ratios of each of the run's transitions, from its edge to its edge, either random chain over ordinary."""
         codes = _CODE[np.frombuffer(b" " + run.encode("latin-1", "replace") + b" ", np.uint8)]
-        return self.ratio[codes[:-1], codes[1:]]
+        return self.ratio[:, codes[:-1], codes[1:]]
 
     def score(self, run: str) -> float:
         """Mean log-likelihood ratio of the run's transitions, random over ordinary."""
-        return float(self.ratios(run).mean())
+        return float(self.ratios(run).mean(1).max())
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """Runs that look random, and of runs that touch spans of the fixed patterns each piece beside these that does."""
@@ -121,8 +123,8 @@ class Models:
                 continue
             ratios = self.ratios(run)
             for x, y in pieces:
-                own = ratios[x - a : y - a + 1]
-                if own.sum() > self.threshold * max(len(own), LEAST_TRANSITIONS):
+                own = ratios[:, x - a : y - a + 1]
+                if own.sum(1).max() > self.threshold * max(own.shape[1], LEAST_TRANSITIONS):
                     found.append(("markov", x, y))
         return found
 

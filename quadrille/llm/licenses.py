@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates. ``<<beginOptional>>`` and ``<<endOptional>>`` enclose wording that may be absent;
+#: Templates, full texts and short notices. ``<<beginOptional>>`` and ``<<endOptional>>`` enclose wording that may be absent;
 #: ``<<var;name;least;most>>`` is replaced by so many words; ``<<var;name;x|y z>>`` by one of these. All else is mandatory.
 TEMPLATES = {
     "mit-notice": "<<var;verb;released|licensed|distributed|available>> under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>expat<<endOptional>> mit license",
@@ -29,16 +29,39 @@ TEMPLATES = {
         other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in
         the software""",
     "isc": """permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted
-        provided that the above copyright notice and this permission notice appear in all copies""",
+        provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;holder;1;12>> disclaims all
+        warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;holder;1;12>> be liable for
+        any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract
+        negligence or other tortious action arising out of or in connection with the use or performance of this software""",
     "bsd": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
         <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
         <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
-        disclaimer in the documentation and or other materials provided with the distribution""",
-    "apache-2.0": """licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>> you may not use this file except in compliance with
-        the license you may obtain a copy of the license at""",
-    "gpl": """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free
-        software foundation either version <<var;number;1;2>> of the license or at your option any later version""",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+        disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>>3<<endOptional>> <<beginOptional>>neither the name of
+        <<var;holder;1;12>> nor the names of <<var;whose;its|their|his|other>> contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission<<endOptional>> this software is provided by <<var;holder;1;12>> as is and any express or implied warranties
+        including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall
+        <<var;holder;1;12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of
+        substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict
+        liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage""",
+    "apache-2.0": """licensed under the apache license version 2 0 <<beginOptional>>the license<<endOptional>> you may not use this <<var;what;file|work|software>> except
+        in compliance with the license you may obtain a copy of the license at <<var;scheme;http|https>> www apache org licenses license 2 0 <<beginOptional>>html<<endOptional>>
+        <<beginOptional>>txt<<endOptional>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is
+        basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations
+        under the license""",
+    "gpl": """<<var;what;this program|this library|this software|this file|it>> is free software you can redistribute it and or modify it under the terms of the gnu <<beginOptional>><<var;kind;lesser|library|affero>><<endOptional>>
+        general public license as published by the free software foundation either version <<var;number;1;2>> of the license or at your option any later version
+        <<var;what;1;4>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for
+        a particular purpose see the gnu <<beginOptional>><<var;kind;lesser|library|affero>><<endOptional>> general public license for more details you should have
+        received a copy of the gnu <<beginOptional>><<var;kind;lesser|library|affero>><<endOptional>> general public license along with <<var;what;1;4>> if not
+        <<beginOptional>>see <<var;scheme;http|https>> www gnu org licenses<<endOptional>> <<beginOptional>>write to the free software foundation inc <<var;address;4;14>><<endOptional>>""",
+    "unlicense": """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this
+        software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize
+        copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for
+        the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in
+        perpetuity of all present and future rights <<var;rights;to this|over this>> software under copyright law the software is provided as is without warranty of any
+        kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall
+        the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+        software or the use or other dealings in the software <<beginOptional>>for more information please refer to <<var;scheme;http|https>> unlicense org<<endOptional>>""",
 }
 
 #: How much a label of either kind says.

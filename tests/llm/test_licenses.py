@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from quadrille.llm import licenses
 
 from . import cases
@@ -53,3 +55,44 @@ def test_scan(spark):
         assert 0 <= got[r[0]].score <= 1
     assert got[13].score > 0.9 > got[5].score == 0
     assert licenses.scan(cases.empty(spark)).count() == 0
+
+
+def spelled(markup):
+    """A text that the template accepts, without its optional regions, as (word, whether it is mandatory)."""
+    out, depth = [], 0
+    for token in re.findall(r"<<[^>]*>>|[^\s<]+", markup):
+        if token == "<<beginOptional>>":
+            depth += 1
+        elif token == "<<endOptional>>":
+            depth -= 1
+        elif depth:
+            continue
+        elif token.startswith("<<"):
+            rest = token[2:-2].split(";")[2:]
+            out += [(w, False) for w in (["someone"] * int(rest[0]) if len(rest) == 2 else rest[0].split("|")[0].split())]
+        else:
+            out.append((token, True))
+    return out
+
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_every_mandatory_word_counts(name):
+    words = spelled(licenses.TEMPLATES[name])
+    plain = [w for w, _ in words]
+    automaton = licenses.automata()[name]
+    encode = lambda ws: [w.encode() for w in ws]
+    assert automaton.match(encode(plain), 0) == len(plain)
+    assert name in {m[0] for m in licenses.scan_text("see: " + ", ".join(plain) + ".")[3]}
+    for i, (_, mandatory) in enumerate(words):
+        if mandatory:
+            assert automaton.match(encode([*plain[:i], *plain[i + 1 :]]), 0) < 0, plain[max(0, i - 3) : i + 3]
+            assert automaton.match(encode([*plain[:i], "zebra", *plain[i + 1 :]]), 0) < 0, plain[max(0, i - 3) : i + 3]
+
+
+def test_optional_regions_of_full_texts():
+    bsd = " ".join(w for w, _ in spelled(licenses.TEMPLATES["bsd"]))
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE is provided by"
+    for text in (bsd, bsd.replace("this software is provided by", third), bsd.replace("someone", "the copyright holder and contributors")):
+        assert {m[0] for m in licenses.scan_text(text)[3]} == {"bsd"}
+    gpl = " ".join(w for w, _ in spelled(licenses.TEMPLATES["gpl"])) + " see <https://www.gnu.org/licenses/>"
+    assert max(m[2] for m in licenses.scan_text(gpl)[3] if m[0] == "gpl") == len(licenses.words_of(gpl))

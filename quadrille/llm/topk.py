@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from .common import written
+
 #: Queries that are broadcast together: the bound of what the driver holds.
 BLOCK = 4096
 #: Segments of a vector at each resolution, coarse to fine.
@@ -144,22 +146,32 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     Equal rows are all candidates; a repeated query id is asked once, with its least
     vector. Scores beyond a long are held at its ends.
 
+    An empty table gives no rows.
+
     Queries come in blocks of about ``block`` rows: each is broadcast and meets every
     partition of candidates, which keeps k rows a query. A task prunes by bounds from
     segment means and deviations against the best found so far, and scores survivors.
+    Of several blocks, each one's best rows are written to the shared folder and its
+    broadcast is dropped before the next comes, so that neither the driver, nor workers,
+    nor the plan hold more than one block, and a lost executor costs one block's work.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), queries.alias("asked"), integers(vector_col).alias("x")).where("vec_id is not null and size(x) > 0")
     asked = rows.where("asked").groupBy("vec_id").agg(F.min("x").alias("x"))
     blocks = max(1, -(-asked.count() // block))
-    results = None
+    order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    schema = "query_id long, vec_id long, score long"
+    parts = []
     for b in range(blocks):
         part: dict[int, list] = {}
         for r in asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():
             part.setdefault(len(r["x"]), []).append((r["vec_id"], r["x"]))
         made = [Queries.of(np.array([i for i, _ in p], np.int64), np.array([x for _, x in p], np.float64).reshape(len(p), d), k) for d, p in sorted(part.items())]
         shared = spark.sparkContext.broadcast(made)
-        found = rows.select("vec_id", "x").mapInArrow(lambda it, shared=shared: _scan(it, shared, k), "query_id long, vec_id long, score long")
-        results = found if results is None else results.unionByName(found)
-    order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = rows.select("vec_id", "x").mapInArrow(lambda it, shared=shared: _scan(it, shared, k), schema)
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks == 1:
+            return ranked
+        parts.append(written(ranked, "best")[1])
+        shared.destroy()
+    return spark.read.schema(ranked.schema).parquet(*parts)

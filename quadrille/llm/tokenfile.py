@@ -136,9 +136,10 @@ def _encoder(vocabulary: str) -> Encoder:
 
 
 def _place(path: str):
-    """A file system of pyarrow for a URI or a path, and the path in it."""
+    """A file system of pyarrow for a URI or a path, and the path in it. Hadoop's older names of S3 mean the same store."""
     from pyarrow import fs
 
+    path = re.sub(r"^s3[an]://", "s3://", path)
     if "://" not in path and not path.startswith("file:"):
         return fs.LocalFileSystem(), path
     if path.startswith("file:"):
@@ -159,11 +160,14 @@ def _write_index(files, where: str, wide: int, sizes: list[int], ids: list[int],
 def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text (null: empty) and writes ids in ascending doc_id order; returns the manifest.
 
-    Rows are dealt by ranges of doc_id (nulls first; equal ids by text) and sorted, then
+    Rows are dealt by ranges of doc_id (nulls first; equal ids by a hash of their text,
+    equal texts as they come, so that no id is one task's alone) and sorted, then
     each task streams its ids to ``<part>-<attempt>.ids`` and its boundaries and doc_ids,
     both Elias-Fano lists, to ``.idx``. The manifest row (part, file, n_docs, n_ids) is
     written by Spark's own committer: files of lost or doubled attempts are in no row
-    of it and never read. Memory is that of a batch and of the shard's lengths.
+    of it and never read. Memory is that of a batch and of the shard's lengths. An
+    empty table gives an empty manifest. ``path`` must be on a file system that pyarrow
+    knows: local, hdfs, s3 or gs.
     """
 
     def run(batches):
@@ -194,7 +198,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(sizes)], pa.int64()), pa.array([total], pa.int64())], ["part", "file", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    rows = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(F.asc_nulls_first("doc_id"), "h", "at").sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", "text").select("doc_id", "text")
     return written(rows.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "manifest")[0]
 
 

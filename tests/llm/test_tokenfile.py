@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from quadrille.llm import tokenfile
@@ -37,11 +38,30 @@ def test_pieces_give_the_whole_texts_ids():
         assert np.frombuffer(ids, encoder.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def text_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_one_id_is_not_one_task(spark):
+    docs = spark.range(3000).selectExpr("if(id < 2000, 7, id) as doc_id", "if(id < 1000, 'same text', concat('text ', id)) as text")
+    path, coalesce = new_path(spark, "test"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        manifest = tokenfile.write_shards(docs.repartition(6), path, VOCABULARY)
+    finally:
+        spark.conf.unset(coalesce)
+    assert max(r.n_docs for r in manifest.collect()) < 1500
+    got = tokenfile.read_shards(spark, path, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted([7] * 2000 + list(range(2000, 3000)))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 def test_round_trip(spark):
-    rows = sorted((r[:2] for r in cases.rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = [r[:2] for r in cases.rows()]
     plain = Tokenizer.from_file(VOCABULARY)
     want, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1] or ""))):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

@@ -16,6 +16,8 @@ from .graph import components
 
 #: Fingerprints of one posting that are compared in one go; longer postings are dealt as pairs of such blocks.
 BLOCK = 512
+#: The members of a component meet its smallest doc_id under so many salts, so that a large one isn't one task's.
+SALTS = 16
 
 
 def _votes(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -168,9 +170,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints, _ = written(fingerprints(docs, id_col, text_col, width, lanes), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     stars = components(links(nodes.select("fp"), max_bits, lanes))
-    rooted = nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(roots, "root").select("fp", "component_id")
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    rooted = nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"), salt)
+    roots = rooted.where("linked").groupBy("root").agg(F.min("least").alias("smallest")).select("root", "smallest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    classes = rooted.join(roots, ["root", "salt"], "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
     return prints.join(classes, "fp").select("doc_id", "h", "fp", "component_id")
 
 

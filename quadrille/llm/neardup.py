@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -203,30 +202,30 @@ class Marks:
 
     def column(self, name: str):
         """Whether a row's value is marked, as a column."""
+        return F.arrow_udf(lambda values: pa.array(self.of(values.to_numpy())), "boolean")(name)
 
-        @F.pandas_udf("boolean")
-        def marked(values: pd.Series) -> pd.Series:
-            return pd.Series(self.of(values.to_numpy()))
 
-        return marked(name)
+def _source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = STAGE_WIDTH) -> DataFrame:
-    """Rows (doc_id, h, key, shingles): the distinct shingle hashes of every whole text, ascending; key: a hash of that set; h: of the text."""
+def _shingled(batches, width: int = STAGE_WIDTH):
+    """Batches (doc_id, h, text) as (doc_id, h, key, shingles): the distinct shingle hashes of every whole text, ascending; key: a hash of that set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            some = batch.slice(at, 512)
+            sets = [np.unique(_hashes(t.as_py(), width).view(np.int64)) for t in some.column(2).cast(pa.large_binary())]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(keys), lists], ["doc_id", "h", "key", "shingles"])
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                sets = [np.unique(_hashes(t.as_py(), width).view(np.int64)) for t in some.column(2).cast(pa.large_binary())]
-                keys = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-                ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(keys), lists], ["doc_id", "h", "key", "shingles"])
 
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return source.mapInArrow(run, "doc_id long, h long, key long, shingles array<long>")
+def _sets(batches):
+    """Batches (key, shingles) of texts."""
+    for batch in _shingled(batches):
+        yield batch.select(["key", "shingles"])
 
 
 def least_prefix(n):
@@ -234,21 +233,30 @@ def least_prefix(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def candidates(sets: DataFrame) -> DataFrame:
+def candidates(source: DataFrame, sets=iter) -> DataFrame:
     """Edges (a, b) of keys that connect, over any number of steps, every two sets with J >= 0.8; others may be connected too.
 
     Two such sets share a shingle within their prefixes, whatever the order of all
     shingles. Here common ones come last, so that a passage of many texts joins only
     texts that consist of little else; common is what a count of all prefixes, by 31 bits
-    of the hash, finds often. A list is sorted by size and cut where the next
+    of the hash, finds often. ``sets`` turns batches of ``source`` into batches (key,
+    shingles), in the worker that uses them. A list is sorted by size and cut where the next
     set is too large for the one before, and so for all before; neighbours are joined.
     """
-    head = F.slice("shingles", 1, F.size("shingles") - F.floor((F.size("shingles") * 4 + 4) / 5).cast("int") + 1)
-    often = sets.where(F.size("shingles") > 0).select(F.explode(head).alias("s")).select(F.col("s").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("s"))
-    common = Marks(often.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select(F.col("s").cast("long")))
+
+    def heads(batches):
+        for batch in sets(batches):
+            lists = batch.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            out = [flat[a : a + least_prefix(b - a)] for a, b in zip(ends[:-1], ends[1:]) if b > a]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(out) & (1 << 31) - 1).astype(np.int32))], ["s"])
+
+    often = source.mapInArrow(heads, "s int").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+    common = Marks(often.select(F.col("s").cast("long")))
 
     def post(batches):
-        for batch in batches:
+        for batch in sets(batches):
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 lists = some.column(1)
@@ -270,7 +278,7 @@ def candidates(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
             before = [s[-1:], n[-1:], key[-1:]]
 
-    posted = sets.select("key", "shingles").mapInArrow(post, "s long, n int, key long")
+    posted = source.mapInArrow(post, "s long, n int, key long")
     return posted.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(join, "a long, b long").distinct()
 
 
@@ -304,15 +312,15 @@ def alike(sets: list[np.ndarray]):
                 yield at, other
 
 
-def similar(sets: DataFrame) -> DataFrame:
+def similar(source: DataFrame, sets=iter) -> DataFrame:
     """Edges (a, b) of keys that span the groups of sets (key, shingles) linked by J >= 0.8: exact, but for equal 64-bit hashes.
 
-    ``sets`` is read anew for each step rather than kept: it is larger than the texts.
+    ``source`` (turned into sets as in ``candidates``) is read anew for each step rather than kept: it is larger than the texts.
     Groups of candidates come together with their sets, those of other keys staying where
     they are; larger groups than ``BLOCK`` are dealt as pairs of blocks. Joins are by
     sorting, so that adaptive execution splits a hot group's.
     """
-    groups, _ = written(components(candidates(sets)), "groups")
+    groups, _ = written(components(candidates(source, sets)), "groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("own", j), F.greatest("own", j)))
@@ -320,10 +328,10 @@ def similar(sets: DataFrame) -> DataFrame:
     in_groups = Marks(groups.select("node"))
 
     def some(batches):
-        for batch in batches:
+        for batch in sets(batches):
             yield batch.filter(pa.array(in_groups.of(batch.column(0).to_numpy())))
 
-    members = sets.select("key", "shingles").mapInArrow(some, "key long, shingles array<long>").dropDuplicates(["key"]).join(dealt.hint("merge"), "key")
+    members = source.mapInArrow(some, "key long, shingles array<long>").dropDuplicates(["key"]).join(dealt.hint("merge"), "key")
 
     def run(batches):
         part, keys, held = None, [], []
@@ -358,9 +366,15 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     null ones among them, are one group. An empty table gives none. Columns may have any
     names. Only rows that may go are moved; the others stay where they are read.
     """
-    sets = shingle_sets(docs)
-    prints, _ = written(sets.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "key"), "prints")
-    stars = components(similar(sets.select("key", "shingles")))
+    source = _source(docs)
+
+    def keys(batches):
+        for batch in _shingled(batches):
+            yield batch.select(["doc_id", "h", "key"])
+
+    prints = source.mapInArrow(keys, "doc_id long, h long, key long")
+    prints, _ = written(prints.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "key"), "prints")
+    stars = components(similar(source, _sets))
     found = prints.join(stars.hint("merge"), F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
     first = F.min(F.struct("none", "id", "h")).alias("x")
     kept, _ = written(found.groupBy("group").agg(first).select("x.*").distinct(), "kept")

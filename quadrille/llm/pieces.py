@@ -24,9 +24,9 @@ SPACE = "▁"
 #: Words whose ids every worker holds: those in the most portions of texts.
 HOT = 400_000
 #: Distinct words that a task counts before it sends them on.
-COUNTED = 500_000
+COUNTED = 250_000
 #: Bytes of texts that a worker cuts at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: Partitions of distinct words for each shuffle partition: a word makes about 40 rows of its lattice.
 SPREAD = 4
 #: Code points of a word that go through the fold: those that fit the bits of a long with both ends, for merges, and

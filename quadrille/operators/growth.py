@@ -18,9 +18,12 @@ from .encode import boundaries
 from .kernels import per_sheet
 from .tables import label_components
 
-#: Gaps (across, down) at which regions grow; sheets beyond these sizes take the first alone.
-GAPS = tuple((h, v) for h in range(1, 7) for v in range(1, 3 if h < 3 else 2))
-MANY_ROWS, MANY_CELLS = 1000, 30_000
+#: Gaps (across, down) at which regions grow.
+GAPS = ((1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1), (5, 1), (6, 1))
+#: Lines that stay of a run of empty ones: more than any gap, so that no region reaches over what is left out.
+APART = 1 + max(max(g) for g in GAPS)
+#: Letters weigh this much against a text's length in the test of wording; a row's share is of at least this part of its places.
+WORDY, LEAST_FILLED = 2.5, 1 / 3
 #: Marks of cells that show borders and fills.
 EDGES = ("TopBorder", "BottomBorder", "LeftBorder", "RightBorder")
 
@@ -33,7 +36,7 @@ def cell_values(cells: DataFrame, attributes: str | None = None) -> DataFrame:
     attrs = F.coalesce(F.col(attributes), F.array().cast("array<string>")) if attributes else F.array().cast("array<string>")
     sides = F.size(F.filter(attrs, lambda a: a.isin(*EDGES)))
     ratios = character_ratios(F.trim("v"))
-    wordy = (ratios["alpha"] > 0) & ((ratios["alpha"] >= ratios["digit"]) | (ratios["alpha"] * F.length(F.trim("v")) > 2.5)) | (ratios["special"] > 0)
+    wordy = (ratios["alpha"] > 0) & ((ratios["alpha"] >= ratios["digit"]) | (ratios["alpha"] * F.length(F.trim("v")) > WORDY)) | (ratios["special"] > 0)
     x = cells.withColumns({"content": F.when(full, 2).otherwise(0), "border": F.when(sides >= 3, sides - 1).otherwise(sides) * 2, "fill": F.when(F.array_contains(attrs, "FillColor"), 2).otherwise(0), "header_like": full & F.coalesce(wordy, F.lit(False))})
     return x.withColumn("value", F.least(F.lit(16), F.col("content") + F.col("border") + F.col("fill")))
 
@@ -45,12 +48,21 @@ def boundary_lines(grid: DataFrame, axis: str = "r") -> DataFrame:
 
 def closed(mask: np.ndarray, gap: int) -> np.ndarray:
     """A mask whose rows have inner gaps of up to ``gap`` cells filled."""
-    out = mask.copy()
-    for r in range(len(mask)):
-        at = np.flatnonzero(mask[r])
-        for i in np.flatnonzero((np.diff(at) > 1) & (np.diff(at) <= gap + 1)):
-            out[r, at[i] : at[i + 1]] = True
-    return out
+    at = np.flatnonzero(mask)
+    near = np.flatnonzero((np.diff(at) > 1) & (np.diff(at) <= gap + 1) & (at[1:] // mask.shape[1] == at[:-1] // mask.shape[1]))
+    steps = np.zeros(mask.size + 1, np.int8)
+    steps[at[near]] += 1
+    steps[at[near + 1]] -= 1
+    return mask | (np.cumsum(steps[:-1], dtype=np.int8) > 0).reshape(mask.shape)
+
+
+def squeezed(lines: np.ndarray, most: int = APART) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's line with longer runs of empty lines than ``most`` cut to so many; and the original line of each new one that has cells."""
+    own, where = np.unique(lines, return_inverse=True)
+    new = np.cumsum(np.minimum(np.diff(own, prepend=-1), most + 1)) - 1
+    back = np.full(int(new[-1]) + 1, -1, np.int64)
+    back[new] = own
+    return new[where], back
 
 
 @dataclass
@@ -85,17 +97,19 @@ class Sheet:
         """Boxes of cells that connect over gaps of less than ``across`` columns or ``down`` rows."""
         base = self.full | self.marked if borders else self.full
         numbers = label_components(closed(base, across - 1) | closed(base.T, down - 1).T)
-        found = []
-        for n in range(1, int(numbers.max(initial=0)) + 1):
-            r, c = np.nonzero(numbers == n)
-            box = self.trimmed((int(r.min()), int(c.min()), int(r.max()), int(c.max())))
-            if box and box[2] > box[0]:
-                found.append(box)
-        return found
+        r, c = np.nonzero(numbers)
+        n = numbers[r, c]
+        order = np.argsort(n, kind="stable")
+        first = np.flatnonzero(np.diff(n[order], prepend=0))
+        if not len(first):
+            return []
+        edges = [f.reduceat(x[order], first).tolist() for f, x in ((np.minimum, r), (np.minimum, c), (np.maximum, r), (np.maximum, c))]
+        boxes = (self.trimmed(b) for b in zip(*edges))
+        return [b for b in boxes if b and b[2] > b[0]]
 
     def header_share(self, r: int, c0: int, c1: int) -> float:
         """Header-like cells of a row over its filled ones, or a third of all if fewer are filled."""
-        n = max(self.count(r, c0, r, c1), (c1 - c0 + 1) / 3)
+        n = max(self.count(r, c0, r, c1), (c1 - c0 + 1) * LEAST_FILLED)
         return float(self.header[r, c0 : c1 + 1].sum() / n)
 
     def is_header(self, r: int, c0: int, c1: int) -> bool:
@@ -136,11 +150,9 @@ class Sheet:
         return (self.is_header(b[0], b[1], b[3]), self.count(*b) * self.density(b) ** 0.5, -b[0], -b[1])
 
     def boxes(self) -> list[Box]:
-        h, w = self.full.shape
-        simple = h <= MANY_ROWS and h * w <= MANY_CELLS
         found: set[Box] = set()
-        for across, down in GAPS if simple else GAPS[:1]:
-            for borders in (True, False) if simple and self.marked.any() else (True,):
+        for across, down in GAPS:
+            for borders in (True, False) if self.marked.any() else (True,):
                 for b in self.regions(across, down, borders):
                     better = self.refined(b)
                     found |= {x for x in (b, better) if x and self.acceptable(x)}
@@ -152,16 +164,21 @@ class Sheet:
 
 
 def detect_boxes(cells: DataFrame, attributes: str | None = None) -> DataFrame:
-    """(sheet_id, idx, box): disjoint boxes of each sheet, from the top left. A sheet is one kernel's; only cells that show something reach it."""
+    """(sheet_id, idx, box): disjoint boxes of each sheet, from the top left.
+
+    A sheet is one kernel's; only cells that show something reach it, and long runs of
+    empty lines are cut first, so that arrays grow with the lines that have cells and
+    not with how far apart they stand. Every sheet goes through all gaps, whatever its size.
+    """
     x = cell_values(cells, attributes).where("value > 0").select("sheet_id", "r", "c", (F.col("content") > 0).alias("full"), (F.col("border") > 0).alias("marked"), "header_like")
 
     def kernel(sheet: int, a: dict):
-        shape = (int(a["r"].max()) + 1, int(a["c"].max()) + 1)
-        grids = [np.zeros(shape, bool) for _ in range(3)]
+        (r, rows), (c, columns) = squeezed(a["r"]), squeezed(a["c"])
+        grids = [np.zeros((len(rows), len(columns)), bool) for _ in range(3)]
         for g, n in zip(grids, ("full", "marked", "header_like")):
-            g[a["r"], a["c"]] = a[n]
-        for i, b in enumerate(Sheet(*grids).boxes()):
-            yield (sheet, i, *b)
+            g[r, c] = a[n]
+        for i, (r0, c0, r1, c1) in enumerate(Sheet(*grids).boxes()):
+            yield (sheet, i, int(rows[r0]), int(columns[c0]), int(rows[r1]), int(columns[c1]))
 
     found = per_sheet(x, ["r", "c", "full", "marked", "header_like"], kernel, "sheet_id long, idx int, r0 int, c0 int, r1 int, c1 int")
     return found.select("sheet_id", "idx", F.struct("r0", "c0", "r1", "c1").alias("box"))

@@ -141,16 +141,32 @@ def converted(records: DataFrame) -> DataFrame:
     return records.where("error is null").select(F.concat(F.lit("fold_"), F.lpad((F.col("fold") + 1).cast("string"), 2, "0")).alias("fold"), F.col("file_path").alias("file"), once.alias("predicted_ranges"), g.alias("gt_ranges"), F.size(once).alias("n_predicted"), F.size(g).alias("n_gt"))
 
 
+def _present(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds anything that a reader would see."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in files.listStatus(p))
+
+
 def write_results(results: DataFrame, path: str, done: DataFrame | None = None, key: str = "file_id") -> None:
-    """Results by fold as JSON; rows already done are left out, what is there stays."""
+    """Results by fold as JSON. What is there stays: rows whose key is in the folder, or in ``done``, are left out, so that a rerun adds nothing."""
+    spark = results.sparkSession
+    if done is None and _present(spark, path):
+        done = spark.read.schema(results.schema).json(path)
     todo = results if done is None else metrics.unfinished(results, done, key)
     todo.write.mode("append").partitionBy("fold").json(path)
 
 
 def write_grids(predicted: DataFrame, expected: DataFrame, path: str) -> DataFrame:
-    """Predicted labels (fold, uuid, r, c, label) as Parquet by fold; returns (uuid, status): ok, or shape_mismatch against (uuid, n_rows, n_cols)."""
-    predicted.write.mode("ignore").partitionBy("fold").parquet(path)
-    seen = predicted.groupBy("uuid").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.count("*").alias("n"))
+    """Predicted labels (fold, uuid, r, c, label) as Parquet by fold, those of sheets that the folder doesn't hold.
+
+    Returns (uuid, status): ok, or shape_mismatch against (uuid, n_rows, n_cols), of what the folder holds afterwards.
+    """
+    spark = predicted.sparkSession
+    schema = predicted.schema
+    todo = predicted.join(spark.read.schema(schema).parquet(path).select("uuid").distinct(), "uuid", "left_anti").select(*predicted.columns) if _present(spark, path) else predicted
+    todo.write.mode("append").partitionBy("fold").parquet(path)
+    seen = spark.read.schema(schema).parquet(path).groupBy("uuid").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), F.count("*").alias("n"))
     good = (F.col("h") == F.col("n_rows")) & (F.col("w") == F.col("n_cols")) & (F.col("n") == F.col("n_rows") * F.col("n_cols"))
     return expected.join(seen, "uuid", "left").select("uuid", F.when(F.coalesce(good, F.lit(False)), "ok").otherwise("shape_mismatch").alias("status"))
 
@@ -181,14 +197,19 @@ def canonical_keys(records: DataFrame, manifest: DataFrame) -> DataFrame:
     return x.withColumn("key", F.coalesce("_k", "_u1", "_u2")).select(*records.columns, "key")
 
 
-def resolved_styles(styles: DataFrame, most: int = 32) -> DataFrame:
+def resolved_styles(styles: DataFrame) -> DataFrame:
     """(name, property, value): properties of styles (name, parent, property, value) with what they inherit, the nearest ancestor's first.
 
-    Chains are followed up to ``most`` steps, which also ends those that run in a circle.
+    Chains are followed to their end however long, and end where a name would repeat.
+    Each way to an ancestor counts where a name has several parents.
     """
-    styles.createOrReplaceTempView("_styles")
-    return styles.sparkSession.sql(f"""
-        WITH RECURSIVE chain (name, ancestor, depth) AS (
-            SELECT DISTINCT name, name, 0 FROM _styles
-            UNION ALL SELECT c.name, p.parent, c.depth + 1 FROM chain c JOIN (SELECT DISTINCT name, parent FROM _styles WHERE parent IS NOT NULL) p ON p.name = c.ancestor WHERE c.depth < {most})
-        SELECT c.name, s.property, min_by(s.value, c.depth) AS value FROM chain c JOIN _styles s ON s.name = c.ancestor WHERE s.property IS NOT NULL GROUP BY c.name, s.property""")
+    deepest = styles.select("name").distinct().count() + 1
+    return styles.sparkSession.sql(
+        f"""
+        WITH RECURSIVE chain (name, ancestor, way) MAX RECURSION LEVEL {deepest} AS (
+            SELECT DISTINCT name, name, array(name) FROM {{styles}}
+            UNION ALL SELECT c.name, p.parent, array_append(c.way, p.parent)
+            FROM chain c JOIN (SELECT DISTINCT name, parent FROM {{styles}} WHERE parent IS NOT NULL) p ON p.name = c.ancestor WHERE NOT array_contains(c.way, p.parent))
+        SELECT c.name, s.property, min_by(s.value, size(c.way)) AS value FROM chain c JOIN {{styles}} s ON s.name = c.ancestor WHERE s.property IS NOT NULL GROUP BY c.name, s.property""",
+        styles=styles,
+    )

@@ -96,7 +96,7 @@ def read_csv(data: bytes, tabs: bool = False, profile: str = "classifier") -> Sh
     delimiter = "\t" if tabs else ","
     if profile == "classifier" and not tabs:
         try:
-            delimiter = csv.Sniffer().sniff(text[:4096], ",;\t|").delimiter
+            delimiter = csv.Sniffer().sniff(text, ",;\t|").delimiter
         except csv.Error:
             pass
     cells = {(r, c): Cell(v) for r, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)) for c, v in enumerate(row) if v != ""}

@@ -198,3 +198,26 @@ def test_keys_of_all_methods_are_real_keys(spark):
         found.setdefault(r[0], {}).setdefault(r[1], set()).add(r[2])
     want = {(fold, key) for fold, methods in found.items() for key in set.intersection(*methods.values())}
     assert {(r.fold, r.key) for r in queries.keys_of_all_methods(spark, SF).collect()} == want
+
+
+def test_styles_of_any_depth(spark):
+    """A chain of 36 parents, and one that runs in a circle."""
+    rows = [(f"s{i}", f"s{i + 1}", None, None) for i in range(36)] + [("s36", None, "size", "9"), ("s3", "s4", "bold", "1"), ("a", "b", "x", "1"), ("b", "a", "y", "2")]
+    got = {(r.name, r.property): r.value for r in detection.resolved_styles(spark.createDataFrame(rows, "name string, parent string, property string, value string")).collect()}
+    assert got["s0", "size"] == "9" and got["s0", "bold"] == "1" and ("s4", "bold") not in got
+    assert {k: v for k, v in got.items() if k[0] in "ab"} == {("a", "x"): "1", ("a", "y"): "2", ("b", "x"): "1", ("b", "y"): "2"}
+
+
+def test_reruns_add_nothing(spark, tmp_path):
+    records = spark.createDataFrame([("f1", 0, "x"), ("f2", 1, "y")], "file_id string, fold int, answer string")
+    path = str(tmp_path / "results")
+    for more in (records, records, records.unionByName(spark.createDataFrame([("f3", 1, "z")], records.schema))):
+        detection.write_results(more, path)
+    assert sorted(r.file_id for r in spark.read.json(path).collect()) == ["f1", "f2", "f3"]
+    grids = spark.createDataFrame([(0, "u1", r, c, "data") for r in range(2) for c in range(3)], "fold int, uuid string, r int, c int, label string")
+    other = spark.createDataFrame([(0, "u2", 0, 0, "data")], grids.schema)
+    shapes = spark.createDataFrame([("u1", 2, 3), ("u2", 1, 1), ("u3", 1, 1)], "uuid string, n_rows int, n_cols int")
+    path = str(tmp_path / "grids")
+    detection.write_grids(grids, shapes, path)
+    status = {r.uuid: r.status for r in detection.write_grids(grids.unionByName(other), shapes, path).collect()}
+    assert status == {"u1": "ok", "u2": "ok", "u3": "shape_mismatch"} and spark.read.parquet(path).count() == 7

@@ -53,20 +53,24 @@ def parse_range(text: Column, mode: str = "tolerant") -> Column:
     corners put in order, but -1 in every field if malformed.
     """
     t = F.replace(text, F.lit(" "), F.lit("")) if mode == "tolerant" else F.trim(text)
-    parts = F.split(t, ":", -1)
-    a = parse_address(F.get(parts, F.lit(0)))
-    b = parse_address(F.get(parts, F.lit(1)))
     box = lambda r0, c0, r1, c1: F.struct(r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
-    two = (F.size(parts) == 2) & a.isNotNull() & b.isNotNull() & t.rlike(r"^\S+$")
-    plain = F.when(two, box(a["r"], a["c"], b["r"], b["c"]))
-    ordered = F.when(two, box(F.least(a["r"], b["r"]), F.least(a["c"], b["c"]), F.greatest(a["r"], b["r"]), F.greatest(a["c"], b["c"])))
-    if mode == "tolerant":
-        return F.when((F.size(parts) == 1) & a.isNotNull(), box(a["r"], a["c"], a["r"], a["c"])).otherwise(ordered)
+    # each corner is read once, by a lambda's variable, however many fields are taken from it
+    cut = F.transform(F.split(t, ":", -1), lambda p: F.struct(F.regexp_extract(p, _ADDRESS, 1).alias("l"), p.alias("p")))
+    corners = F.transform(cut, lambda x: F.struct(F.try_subtract(F.substr(x["p"], F.length(x["l"]) + 1).try_cast("int"), F.lit(1)).alias("r"), column_index(x["l"]).cast("int").alias("c"), (x["l"] != "").alias("ok")))
+
+    def of(k: Column) -> Column:
+        a, b = F.get(k, F.lit(0)), F.get(k, F.lit(1))
+        one = (F.size(k) == 1) & a["ok"] & a["r"].isNotNull()
+        two = (F.size(k) == 2) & a["ok"] & a["r"].isNotNull() & b["ok"] & b["r"].isNotNull() & t.rlike(r"^\S+$")
+        ordered = F.when(two, box(F.least(a["r"], b["r"]), F.least(a["c"], b["c"]), F.greatest(a["r"], b["r"]), F.greatest(a["c"], b["c"])))
+        if mode == "tolerant":
+            return F.when(one, box(a["r"], a["c"], a["r"], a["c"])).otherwise(ordered)
+        return ordered if mode == "sentinel" else F.when(two, box(a["r"], a["c"], b["r"], b["c"]))
+
+    found = F.get(F.transform(F.array(corners), of), F.lit(0))
     if mode == "strict":
-        return F.coalesce(plain, F.raise_error(F.concat(F.lit("not a range: "), text)).cast(BOX))
-    if mode == "sentinel":
-        return F.coalesce(ordered, box(*[F.lit(-1)] * 4))
-    return plain
+        return F.coalesce(found, F.raise_error(F.concat(F.lit("not a range: "), text)).cast(BOX))
+    return F.coalesce(found, box(*[F.lit(-1)] * 4)) if mode == "sentinel" else found
 
 
 def found_ranges(text: Column) -> Column:

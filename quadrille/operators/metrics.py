@@ -117,16 +117,24 @@ def rolled_up(scores: DataFrame, by: list[str], truncated: bool = False) -> Data
 def precision_curve(matches: DataFrame, counts: DataFrame, keys: list[str], fold: str, steps: int = 200, region: bool = False) -> DataFrame:
     """(fold, threshold, micro, macro): share of predictions matched at thresholds 0, 1/steps, ... 1.
 
-    region: a sheet's predictions count up to its number of true boxes. Each sheet's
-    thresholds come from its few matches; sums then need one row a sheet and threshold.
+    region: a sheet's predictions count up to its number of true boxes. Each match falls
+    into the bucket of the last threshold it reaches; buckets are summed by fold, then
+    from the highest down, so that a sheet costs its matches and not its thresholds.
     """
     cap = F.least("n_pred", "n_gt") if region else F.col("n_pred")
-    grouped = matches.groupBy(*keys).agg(F.collect_list("iou").alias("_ious"))
-    x = counts.join(grouped, keys, "left").withColumn("_cap", cap).withColumn("_ious", F.coalesce("_ious", F.array().cast("array<double>")))
-    x = x.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("threshold", F.col("k") / steps)
-    hits = F.when(F.col("k") == 0, F.col("_cap")).otherwise(F.size(F.filter("_ious", lambda v: v >= F.col("threshold"))))
-    x = x.withColumn("hits", hits)
-    return x.groupBy(fold, "threshold").agg(_ratio(F.sum("hits"), F.sum("_cap")).alias("micro"), F.avg(_ratio(F.col("hits"), F.col("_cap"))).alias("macro"))
+    capped = counts.select(*dict.fromkeys([*keys, fold]), cap.alias("_cap"))
+    folds = capped.groupBy(fold).agg(F.sum("_cap").alias("_caps"), F.count("*").alias("_sheets"), F.sum(_ratio(F.col("_cap"), F.col("_cap"))).alias("_whole"))
+    near = F.floor(F.col("iou") * steps)
+    k = near + F.when(F.col("iou") >= (near + 1) / steps, 1).when(F.col("iou") < near / steps, -1).otherwise(0)
+    x = matches.select(*keys, "iou").join(capped, keys).withColumn("k", k)
+    x = x.groupBy(fold, "k").agg(F.count("*").alias("_hits"), F.sum(_ratio(F.lit(1), F.col("_cap"))).alias("_shares"))
+    grid = folds.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps).cast("long"))))
+    down = Window.partitionBy(fold).orderBy(F.desc("k"))
+    x = grid.join(x, [fold, "k"], "left").withColumns({"_hits": F.sum(F.coalesce("_hits", F.lit(0))).over(down), "_shares": F.sum(F.coalesce("_shares", F.lit(0.0))).over(down)})
+    first = F.col("k") == 0
+    micro = _ratio(F.when(first, F.col("_caps")).otherwise(F.col("_hits")), F.col("_caps"))
+    macro = F.when(first, F.col("_whole")).otherwise(F.col("_shares")) / F.col("_sheets")
+    return x.select(fold, (F.col("k") / steps).alias("threshold"), micro.alias("micro"), macro.alias("macro"))
 
 
 def curve_band(curve: DataFrame, value: str = "micro") -> DataFrame:

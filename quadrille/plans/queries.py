@@ -161,7 +161,7 @@ def rows_collapsed(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EVENTS}, wide AS (SELECT sheet_id, (c * 3)::INTEGER AS c FROM cells WHERE c <> sheet_id % 5),
+    f"""WITH {EVENTS}, wide AS (SELECT sheet_id, (c * 3 + CASE WHEN c > sheet_id % 5 THEN 2 ELSE 0 END)::INTEGER AS c FROM cells),
     lines AS (SELECT DISTINCT sheet_id, c FROM wide), every AS (SELECT sheet_id, unnest(range(0, 16))::INTEGER AS c FROM (SELECT DISTINCT sheet_id FROM wide)),
     marked AS (SELECT e.sheet_id, e.c, l.c IS NULL AS none FROM every e LEFT JOIN lines l USING (sheet_id, c)),
     grouped AS (SELECT *, sum((NOT none)::INT) OVER (PARTITION BY sheet_id ORDER BY c) AS run FROM marked),
@@ -192,7 +192,9 @@ def read_until_gap(spark, sf_dir):
 
 @query(
     f"""WITH {EVENTS}{RUNS}, kept AS (SELECT sheet_id, (row_number() OVER (PARTITION BY sheet_id ORDER BY r) - 1)::INTEGER AS ci, r AS oi FROM runs WHERE NOT none OR pos <= 2)
-    SELECT w.sheet_id, w.r::BIGINT AS x, (SELECT ci FROM kept k WHERE k.sheet_id = w.sheet_id ORDER BY abs(k.oi - w.r), k.oi LIMIT 1) AS ci FROM rows w WHERE w.r % 7 = 3"""
+    , sides AS (SELECT w.sheet_id, w.r, max(k.oi) OVER up AS low, max(k.ci) OVER up AS low_ci, min(k.oi) OVER down AS high, min(k.ci) OVER down AS high_ci FROM rows w LEFT JOIN kept k ON k.sheet_id = w.sheet_id AND k.oi = w.r
+        WINDOW up AS (PARTITION BY w.sheet_id ORDER BY w.r), down AS (PARTITION BY w.sheet_id ORDER BY w.r DESC))
+    SELECT sheet_id, r::BIGINT AS x, CASE WHEN high IS NULL OR r - low <= high - r THEN low_ci ELSE high_ci END AS ci FROM sides"""
 )
 def nearest_kept_row(spark, sf_dir):
     sheets = C.event_sheets(spark, sf_dir)
@@ -276,7 +278,7 @@ def merged_areas(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ORDERS}, a AS (SELECT sheet_id, r, c, c AS anchor, v FROM cells WHERE c < 4), merged AS (SELECT x.sheet_id, x.r, x.c, CASE WHEN x.r % 2 = 0 AND x.c IN (1, 2) THEN y.v ELSE x.v END AS v FROM a x JOIN a y ON x.sheet_id = y.sheet_id AND x.r = y.r AND y.c = 1)
+    f"""WITH {ORDERS}, a AS (SELECT sheet_id, r, c, v FROM cells), merged AS (SELECT x.sheet_id, x.r, x.c, CASE WHEN x.r % 2 = 0 AND x.c IN (1, 2) THEN y.v ELSE x.v END AS v FROM a x JOIN a y ON x.sheet_id = y.sheet_id AND x.r = y.r AND y.c = 1)
     SELECT sheet_id, r, c, v FROM merged"""
 )
 def merged_values(spark, sf_dir):
@@ -493,7 +495,7 @@ def event_json(spark, sf_dir):
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT l_returnflag AS method, l_linestatus AS fold, l_partkey % 400 AS key FROM lineitem), n AS (SELECT fold, count(DISTINCT method) AS n FROM d GROUP BY 1)
+    """WITH d AS (SELECT DISTINCT l_returnflag AS method, l_linestatus AS fold, l_partkey AS key FROM lineitem), n AS (SELECT fold, count(DISTINCT method) AS n FROM d GROUP BY 1)
     SELECT fold, key FROM d JOIN n USING (fold) GROUP BY fold, key, n.n HAVING count(DISTINCT method) = n.n"""
 )
 def keys_of_all_methods(spark, sf_dir):

@@ -111,4 +111,15 @@ ORACLE_SQL: dict[str, str] = {
         ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op9_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        listed AS (SELECT doc_id, list_transform(range(0, greatest(len(w) - 19, 0)), lambda s: array_to_string(w[s + 1 : s + 20], ' ')) AS k FROM d),
+        windows AS (SELECT doc_id, unnest(k) AS k, unnest(range(0, len(k))) AS s FROM listed),
+        firsts AS (SELECT k, min(doc_id::HUGEINT * 1000000000 + s) AS place FROM windows GROUP BY k HAVING count(*) > 1),
+        later AS (SELECT doc_id, s FROM windows JOIN firsts USING (k) WHERE doc_id::HUGEINT * 1000000000 + s > place),
+        gone AS (SELECT DISTINCT doc_id, s + o AS i FROM later, (SELECT unnest(range(0, 20)) AS o)),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """,
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import character_ratios
 from .encode import boundaries
-from .kernels import per_sheet
+from .kernels import per_sheet, squeezed
 from .tables import label_components
 
 #: Gaps (across, down) at which regions grow.
@@ -56,15 +56,6 @@ def closed(mask: np.ndarray, gap: int) -> np.ndarray:
     return mask | (np.cumsum(steps[:-1], dtype=np.int8) > 0).reshape(mask.shape)
 
 
-def squeezed(lines: np.ndarray, most: int = APART) -> tuple[np.ndarray, np.ndarray]:
-    """Each cell's line with longer runs of empty lines than ``most`` cut to so many; and the original line of each new one that has cells."""
-    own, where = np.unique(lines, return_inverse=True)
-    new = np.cumsum(np.minimum(np.diff(own, prepend=-1), most + 1)) - 1
-    back = np.full(int(new[-1]) + 1, -1, np.int64)
-    back[new] = own
-    return new[where], back
-
-
 @dataclass
 class Sheet:
     """Arrays of one sheet: content, borders, fills, header-like cells, and sums of content."""
@@ -173,7 +164,7 @@ def detect_boxes(cells: DataFrame, attributes: str | None = None) -> DataFrame:
     x = cell_values(cells, attributes).where("value > 0").select("sheet_id", "r", "c", (F.col("content") > 0).alias("full"), (F.col("border") > 0).alias("marked"), "header_like")
 
     def kernel(sheet: int, a: dict):
-        (r, rows), (c, columns) = squeezed(a["r"]), squeezed(a["c"])
+        (r, rows), (c, columns) = squeezed(a["r"], APART), squeezed(a["c"], APART)
         grids = [np.zeros((len(rows), len(columns)), bool) for _ in range(3)]
         for g, n in zip(grids, ("full", "marked", "header_like")):
             g[r, c] = a[n]

@@ -16,6 +16,15 @@ Kernel = Callable[[int, dict[str, np.ndarray]], Iterable[tuple]]
 ROWS = 65536
 
 
+def squeezed(lines: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's line with longer runs of empty lines than ``most`` cut to so many; and the original line of each new one that has cells."""
+    own, where = np.unique(lines, return_inverse=True)
+    new = np.cumsum(np.minimum(np.diff(own, prepend=-1), most + 1)) - 1
+    back = np.full(int(new[-1]) + 1, -1, np.int64)
+    back[new] = own
+    return new[where], back
+
+
 def per_sheet(cells: DataFrame, columns: list[str], kernel: Kernel, schema: str) -> DataFrame:
     """Rows that ``kernel`` gives for each sheet from its id and arrays of ``columns``, in the order of r and c.
 

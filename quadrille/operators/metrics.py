@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,7 +81,7 @@ def make_folds(spark: SparkSession, n: int, folds: int = 5, seed: int = 2112) ->
     order = np.random.RandomState(seed).permutation(n)
     sizes = [n // folds + (f < n % folds) for f in range(folds)]
     fold = np.repeat(np.arange(folds), sizes)
-    return spark.createDataFrame([(int(p), int(f)) for p, f in zip(order, fold)], "pos int, fold int")
+    return spark.createDataFrame(pa.table({"pos": pa.array(order, pa.int32()), "fold": pa.array(fold, pa.int32())}), "pos int, fold int")
 
 
 def table_scores(matches: DataFrame, counts: DataFrame, keys: list[str], thresholds: tuple[float, ...] = (0.5, 0.75, 0.95)) -> DataFrame:
@@ -145,7 +146,7 @@ def common_keys(results: DataFrame, key: str, method: str, fold: str) -> DataFra
     """Keys that every method of a fold has."""
     per = results.groupBy(fold, key).agg(F.countDistinct(method).alias("n"))
     all_ = results.groupBy(fold).agg(F.countDistinct(method).alias("all"))
-    return per.join(F.broadcast(all_), fold).where(F.col("n") == F.col("all")).select(fold, key)
+    return per.join(all_, fold).where(F.col("n") == F.col("all")).select(fold, key)
 
 
 def unfinished(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .kernels import per_sheet
+from .kernels import per_sheet, squeezed
 
 EMPTY, HEADER, DATA, TITLE, OTHER = range(5)
 
@@ -78,13 +78,17 @@ class Sheet:
 
     def seeds(self) -> list[list[int]]:
         numbers = label_components((self.g == DATA) | (self.g == HEADER))
-        boxes = []
-        for n in range(1, int(numbers.max(initial=0)) + 1):
-            rows, cols = np.nonzero(numbers == n)
-            data = int((self.g[rows, cols] == DATA).sum())
-            if data >= self.rules.least_data or (not data and len(rows) >= self.rules.least_header):
-                boxes.append([int(rows.min()), int(cols.min()), int(rows.max()), int(cols.max())])
-        return boxes
+        rows, cols = np.nonzero(numbers)
+        order = np.argsort(numbers[rows, cols], kind="stable")
+        rows, cols = rows[order], cols[order]
+        first = np.flatnonzero(np.diff(numbers[rows, cols], prepend=0))
+        if not len(first):
+            return []
+        data = np.add.reduceat((self.g[rows, cols] == DATA).astype(np.int64), first)
+        cells = np.diff(np.append(first, len(rows)))
+        good = (data >= self.rules.least_data) | ((data == 0) & (cells >= self.rules.least_header))
+        edges = np.stack([f.reduceat(x, first) for f, x in ((np.minimum, rows), (np.minimum, cols), (np.maximum, rows), (np.maximum, cols))], 1)
+        return edges[good].tolist()
 
     def joins_down(self, a, b) -> bool | None:
         """Whether two boxes with common columns and rows between them are one table; None where that doesn't apply."""
@@ -192,14 +196,16 @@ def typed_regions(cells: DataFrame) -> DataFrame:
 
     def kernel(sheet: int, x: dict):
         kinds, number = np.unique(x["type"].astype(str), return_inverse=True)
-        grid = np.full((x["r"].max() + 1, x["c"].max() + 1), -1, np.int32)
-        grid[x["r"], x["c"]] = number
+        (x_r, lines), (x_c, columns) = squeezed(x["r"], 1), squeezed(x["c"], 1)  # neighbours stay neighbours, and no others become so
+        grid = np.full((len(lines), len(columns)), -1, np.int32)
+        grid[x_r, x_c] = number
         rows = []
         for k, kind in enumerate(kinds):
             numbers = label_components(grid == k)
             at = np.flatnonzero(numbers)
             own = numbers.reshape(-1)[at]
             r, c = np.divmod(at, grid.shape[1])
+            r, c = lines[r], columns[c]
             order = np.argsort(own, kind="stable")
             for some in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
                 rows.append((int(r[some[0]]), int(c[some[0]]), str(kind), int(r[some].min()), int(c[some].min()), int(r[some].max()), int(c[some].max()), len(some)))

@@ -51,7 +51,7 @@ def event_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = events.groupBy("user_id", "event_type", "hour").agg(F.count("*").alias("n"))
     types = events.select("event_type").distinct().select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1).alias("c"))
     first = F.min("hour").over(Window.partitionBy("user_id"))
-    return counts.join(F.broadcast(types), "event_type").select(F.col("user_id").alias("sheet_id"), (F.col("hour") - first).cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("n").cast("string").alias("v"))
+    return counts.join(types, "event_type").select(F.col("user_id").alias("sheet_id"), (F.col("hour") - first).cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("n").cast("string").alias("v"))
 
 
 def document_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,7 @@ def test_a_cell_at_the_far_corner(spark):
 
 
 def test_squeezed_lines():
-    new, back = growth.squeezed(np.array([0, 3, 3, 40, 41, 1000]))
+    new, back = growth.squeezed(np.array([0, 3, 3, 40, 41, 1000]), growth.APART)
     assert new.tolist() == [0, 3, 3, 11, 12, 20] and growth.APART == 7
     assert [int(back[x]) for x in new] == [0, 3, 3, 40, 41, 1000] and (back >= 0).sum() == 5
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 from .graph import components
 
 #: Fingerprints of one posting that are compared in one go; longer postings are dealt as pairs of such blocks.
@@ -178,11 +178,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Wide fingerprints of whole documents: words in a shingle, lanes of 64 bits, and the mean number of differing bits at J = 0.8.
 #: Texts that share J = 0.8 of their shingles have a cosine of 2J / (1 + J) = 0.89, an angle of 0.15 pi, and 38 of 256 bits.
-#: About half of such pairs differ in more, so ``one_of_each`` doesn't use them; its shingles have as many words.
-STAGE_WIDTH, STAGE_LANES, STAGE_BITS = 5, 4, 38
-#: Shingles in more prefixes than ``COMMON`` go to the end of the order of shingles. Tables of marks have ``SLOTS`` bits, whatever the input:
-#: a mark that another value has set costs time, never a result.
+#: About half of such pairs differ in more; those in more than ``NEAR`` are fewer than one in 10^12, and unlike texts differ in 128. Sets of
+#: fewer than ``FEW`` shingles, whose bits vary more, aren't told apart by them.
+STAGE_WIDTH, STAGE_LANES, STAGE_BITS, NEAR, FEW = 5, 4, 38, 88, 64
+#: Shingles in more prefixes than ``COMMON`` go to the end of the order of shingles, where they are too many for an eighth of the marks only the
+#: most frequent. Tables of marks have ``SLOTS`` bits, whatever the input: a mark that another value has set costs time, never a result.
 COMMON, SLOTS = 2, 1 << 24
+#: Lists of so many sets are compared all together, a batch at a time; longer ones each by itself.
+SHORT = 8
 
 
 class Marks:
@@ -228,12 +231,119 @@ def _sets(batches):
         yield batch.select(["key", "shingles"])
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """The wide SimHash of a set of shingle hashes, and 256 bits of parity: each shingle turns one of them over."""
+    x = shingles.view(np.uint64)
+    parity = np.packbits(np.bincount((x >> np.uint64(7) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1)
+    return np.packbits(_votes(x, STAGE_LANES) * 2 > len(x)).tobytes() + parity.tobytes()
+
+
+def _signed(batches):
+    """Batches with the columns key and shingles at the end as those before it, key, n and sig: the number of shingles and their ``signature``."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sigs = pa.array([signature(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(ends).astype(np.int32)), sigs], [*batch.schema.names[:-1], "n", "sig"])
+
+
+def near(n, m, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles with signatures ``x`` and ``y`` (rows of 64-bit lanes) may have J >= 0.8.
+
+    Such sets differ in a ninth of n + m shingles or fewer, and so in no more bits of
+    parity. Their fingerprints differ in ``NEAR`` bits or fewer.
+    """
+    bits = np.bitwise_count(x ^ y)
+    least, most = np.minimum(n, m), np.maximum(n, m)
+    far = (bits[:, :STAGE_LANES].sum(1, dtype=np.int64) > NEAR) & (least >= FEW)
+    return (5 * least >= 4 * most) & (bits[:, STAGE_LANES:].sum(1, dtype=np.int64) * 9 <= least + most) & ~far
+
+
 def least_prefix(n):
     """How many of ``n`` shingles, the first in any order common to all sets, hold one of another set with J >= 0.8: that shares 4/5 of n or more."""
     return n - (4 * n + 4) // 5 + 1
 
 
-def candidates(source: DataFrame, sets=iter) -> DataFrame:
+def _whole(batches):
+    """Batches sorted by their first column, cut anew so that rows of one value there come together."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch if rest is None else pa.concat_batches([rest, batch])
+        first = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(first, first[-1]))
+        if cut:
+            yield batch.slice(0, cut)
+        rest = batch.slice(cut)
+    if rest is not None:
+        yield rest
+
+
+def _near_pairs(batches):
+    """Batches (list, key, n, sig) by list as edges (a, b): enough to connect all sets of a list that are ``near``."""
+    for batch in _whole(batches):
+        part, key, n = (batch.column(i).to_numpy() for i in range(3))
+        n = n.astype(np.int64)
+        sigs = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(len(key), -1)
+        begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        sizes = np.diff(np.append(begins, len(part)))
+        after = np.repeat(begins + sizes, sizes) - np.arange(len(part))  # rows of the list from this one on
+        short = np.repeat(sizes <= SHORT, sizes)
+        found = []
+        for k in range(1, SHORT):
+            i = np.flatnonzero(short & (after > k))
+            i = i[near(n[i], n[i + k], sigs[i], sigs[i + k])]
+            found.append(np.stack([key[i], key[i + k]], 1))
+        for at, size in zip(begins[sizes > SHORT], sizes[sizes > SHORT]):
+            left = np.arange(at, at + size)
+            while left.size > 1:
+                queue, left = [left[0]], left[1:]
+                while queue and left.size:
+                    one = queue.pop()
+                    linked = near(n[left], n[one], sigs[left], sigs[one])
+                    found.append(np.stack([np.full(linked.sum(), key[one]), key[left[linked]]], 1))
+                    queue.extend(left[linked])
+                    left = left[~linked]
+        edges = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+
+def _in_lists(batches):
+    """Postings (s, n, key) by shingle, size and key as lists (list, key): sets whose sizes allow a link to the next one, two or more.
+
+    Lists longer than ``BLOCK`` come as edges of neighbours instead: list is null, and
+    other the neighbour. Copies of a posting are one.
+    """
+    held, chained = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)], False
+    for batch in chain(batches, [None]):
+        last = batch is None
+        s, n, key = held if last else (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, batch.columns))
+        if not len(s):
+            continue
+        new = np.append(True, (s[1:] != s[:-1]) | (key[1:] != key[:-1]))
+        s, n, key = s[new], n[new], key[new]
+        apart = (s[1:] != s[:-1]) | (5 * n[:-1].astype(np.int64) < 4 * n[1:].astype(np.int64))
+        begins = np.flatnonzero(np.append(True, apart))
+        sizes = np.diff(np.append(begins, len(s)))
+        long = sizes > BLOCK
+        long[0] |= chained
+        held, chained = [np.zeros(0, x.dtype) for x in (s, n, key)], False
+        if not last:  # the last list may go on; of a long one its end is enough
+            keep = len(s) - 1 if long[-1] else begins[-1]
+            held, chained = [x[keep:] for x in (s, n, key)], bool(long[-1])
+            if not long[-1]:
+                s, n, key, begins, sizes, long = s[:keep], n[:keep], key[:keep], begins[:-1], sizes[:-1], long[:-1]
+        listed = np.repeat((sizes > 1) & ~long, sizes)
+        linked = np.repeat(long, sizes)[1:] & ~apart[: max(0, len(s) - 1)] if len(s) else np.zeros(0, bool)
+        name = np.repeat(s[begins] ^ (key[begins] * np.int64(0x9E3779B97F4A7C1)), sizes)
+        i, j = np.flatnonzero(listed), np.flatnonzero(linked)
+        none = lambda x: pa.nulls(len(x), pa.int64())
+        columns = [[pa.array(name[i]), none(j)], [pa.array(key[i]), pa.array(key[j])], [none(i), pa.array(key[j + 1])]]
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["list", "key", "other"])
+
+
+def candidates(source: DataFrame, sets=iter, signed: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) of keys that connect, over any number of steps, every two sets with J >= 0.8; others may be connected too.
 
     Two such sets share a shingle within their prefixes, whatever the order of all
@@ -241,7 +351,10 @@ def candidates(source: DataFrame, sets=iter) -> DataFrame:
     texts that consist of little else; common is what a count of all prefixes, by 31 bits
     of the hash, finds often. ``sets`` turns batches of ``source`` into batches (key,
     shingles), in the worker that uses them. A list is sorted by size and cut where the next
-    set is too large for the one before, and so for all before; neighbours are joined.
+    set is too large for the one before, and so for all before. Within a list sets are
+    joined that are ``near`` by their signatures (``signed``: key, n, sig; reckoned here
+    where not given), so that chance meetings don't grow together with the table; in
+    lists longer than ``BLOCK`` neighbours are joined without a look.
     """
 
     def heads(batches):
@@ -253,7 +366,17 @@ def candidates(source: DataFrame, sets=iter) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(out) & (1 << 31) - 1).astype(np.int32))], ["s"])
 
     often = source.mapInArrow(heads, "s int").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
-    common = Marks(often.select(F.col("s").cast("long")))
+    often, path = written(often, "often")
+    least, total = COMMON, 0
+    for r in sorted(often.groupBy(F.floor(F.log2("n") * 8).alias("grade")).agg(F.count("*").alias("of"), F.min("n").alias("least")).collect(), key=lambda r: -r["grade"]):
+        total += r["of"]
+        if total > SLOTS // 8:
+            break
+        least = r["least"] - 1
+    else:
+        least = COMMON
+    common = Marks(often.where(F.col("n") > least).select(F.col("s").cast("long")))
+    drop(source.sparkSession, path)
 
     def post(batches):
         for batch in sets(batches):
@@ -269,17 +392,13 @@ def candidates(source: DataFrame, sets=iter) -> DataFrame:
                 n = np.array([len(x) for x in out], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(np.repeat(some.column(0).to_numpy(), n))], ["s", "n", "key"])
 
-    def join(batches):
-        before = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64)]
-        for batch in batches:
-            s, n, key = (np.concatenate([x, c.to_numpy()]) for x, c in zip(before, batch.columns))
-            near = (s[1:] == s[:-1]) & (key[1:] != key[:-1]) & (5 * n[:-1].astype(np.int64) >= 4 * n[1:].astype(np.int64))
-            edges = np.unique(np.stack([key[:-1][near], key[1:][near]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-            before = [s[-1:], n[-1:], key[-1:]]
-
-    posted = source.mapInArrow(post, "s long, n int, key long")
-    return posted.repartition("s").sortWithinPartitions("s", "n", "key").mapInArrow(join, "a long, b long").distinct()
+    posted = source.mapInArrow(post, "s long, n int, key long").repartition("s").sortWithinPartitions("s", "n", "key")
+    found, _ = written(posted.mapInArrow(_in_lists, "list long, key long, other long"), "lists")
+    if signed is None:
+        signed = source.mapInArrow(lambda it: _signed(sets(it)), "key long, n int, sig binary")
+    entries = found.where("other is null").join(signed.dropDuplicates(["key"]).hint("merge"), "key").select("list", "key", "n", "sig")
+    linked = entries.repartition("list").sortWithinPartitions("list").mapInArrow(_near_pairs, "a long, b long")
+    return linked.unionAll(found.where("other is not null").select("key", "other")).distinct()
 
 
 def alike(sets: list[np.ndarray]):
@@ -312,24 +431,17 @@ def alike(sets: list[np.ndarray]):
                 yield at, other
 
 
-def similar(source: DataFrame, sets=iter) -> DataFrame:
-    """Edges (a, b) of keys that span the groups of sets (key, shingles) linked by J >= 0.8: exact, but for equal 64-bit hashes.
+def compared(source: DataFrame, sets, dealt: DataFrame) -> DataFrame:
+    """Edges (a, b) of keys that span, within each part of ``dealt`` (key, part), the groups of sets linked by J >= 0.8.
 
-    ``source`` (turned into sets as in ``candidates``) is read anew for each step rather than kept: it is larger than the texts.
-    Groups of candidates come together with their sets, those of other keys staying where
-    they are; larger groups than ``BLOCK`` are dealt as pairs of blocks. Joins are by
-    sorting, so that adaptive execution splits a hot group's.
+    Sets of other keys stay where they are. Joins are by sorting, so that adaptive
+    execution splits a hot key's.
     """
-    groups, _ = written(components(candidates(source, sets)), "groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.xxhash64("root", F.least("own", j), F.greatest("own", j)))
-    dealt = groups.join(sizes.hint("merge"), "root").withColumn("own", own).select(F.col("node").alias("key"), F.explode(pairs).alias("part"))
-    in_groups = Marks(groups.select("node"))
+    wanted = Marks(dealt.select("key"))
 
     def some(batches):
         for batch in sets(batches):
-            yield batch.filter(pa.array(in_groups.of(batch.column(0).to_numpy())))
+            yield batch.filter(pa.array(wanted.of(batch.column(0).to_numpy())))
 
     members = source.mapInArrow(some, "key long, shingles array<long>").dropDuplicates(["key"]).join(dealt.hint("merge"), "key")
 
@@ -358,6 +470,54 @@ def similar(source: DataFrame, sets=iter) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
+def _by_prints(large: DataFrame, signed: DataFrame) -> DataFrame:
+    """Parts (key, part) of two sets each: those of a group (node, root) that SimHash links, by the same lists of positional bytes as ``near_duplicates``."""
+    prints = large.join(signed.select(F.col("key").alias("node"), F.substring("sig", 1, 8).alias("fp")).dropDuplicates(["node"]), "node")
+    prints, _ = written(prints, "prints")
+    least = prints.groupBy("root", "fp").agg(F.min("node").alias("first"))
+    alike_prints = prints.join(least, ["root", "fp"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near_prints = links(prints.select("fp").distinct()).withColumnsRenamed({"a": "fp", "b": "other"})
+    near_prints = near_prints.join(least, "fp").select("root", F.col("first").alias("a"), F.col("other").alias("fp")).join(least, ["root", "fp"]).select("a", F.col("first").alias("b"))
+    return alike_prints.unionAll(near_prints).select(F.explode(F.array("a", "b")).alias("key"), F.xxhash64("a", "b").alias("part"))
+
+
+def _by_blocks(large: DataFrame, found: DataFrame) -> DataFrame:
+    """Parts (key, part) that bring together every two sets of a group (node, root) but those both in its largest class so far, by edges ``found``."""
+    classes = large.join(components(found).withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    most = classes.groupBy("root", "class").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("most"), F.max("n").alias("in_most"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    x = classes.join(most, "root").where("n > in_most").withColumns({"rest": blocks(F.col("n") - F.col("in_most")), "settled": blocks(F.col("in_most")), "apart": F.col("class") != F.col("most")})
+    x = x.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("apart"), F.col("rest")).otherwise(F.col("settled"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = F.transform(upto("rest"), lambda j: F.xxhash64("root", F.lit(0), F.least("own", j), F.greatest("own", j)))
+    others = F.transform(upto("settled"), lambda j: F.xxhash64("root", F.lit(1), "own", j))
+    theirs = F.transform(upto("rest"), lambda j: F.xxhash64("root", F.lit(1), j, "own"))
+    return x.select(F.col("node").alias("key"), F.explode(F.when(F.col("apart"), F.concat(own, others)).otherwise(theirs)).alias("part"))
+
+
+def similar(source: DataFrame, sets=iter, signed: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) of keys that span the groups of sets (key, shingles) linked by J >= 0.8; every link counted on the sets.
+
+    ``source`` (turned into sets as in ``candidates``) is read anew for each step rather than kept: it is larger than the texts.
+    A group of candidates comes together with its sets. In one larger than ``BLOCK``,
+    sets that SimHash links are compared first, two by two; then all that aren't in the
+    group's largest class with all of the group, as pairs of blocks. The members of that
+    class needn't meet again, so that a large group of near copies isn't moved once for each block.
+    """
+    if signed is None:
+        signed = source.mapInArrow(lambda it: _signed(sets(it)), "key long, n int, sig binary")
+    groups, _ = written(components(candidates(source, sets, signed)), "groups")
+    sized = groups.join(groups.groupBy("root").agg(F.count("*").alias("size")).hint("merge"), "root")
+    parts = sized.where(F.col("size") <= BLOCK).select(F.col("node").alias("key"), F.col("root").alias("part"))
+    large = sized.where(F.col("size") > BLOCK).select("node", "root")
+    if large.isEmpty():
+        return compared(source, sets, parts)
+    parts, _ = written(parts.unionAll(_by_prints(large, signed)), "parts")
+    first, _ = written(compared(source, sets, parts), "linked")
+    parts, _ = written(_by_blocks(large, first), "parts")
+    return first.unionAll(compared(source, sets, parts)).distinct()
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates, as it is: that of the smallest doc_id (null ids last), then text hash.
 
@@ -368,13 +528,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     source = _source(docs)
 
-    def keys(batches):
-        for batch in _shingled(batches):
-            yield batch.select(["doc_id", "h", "key"])
-
-    prints = source.mapInArrow(keys, "doc_id long, h long, key long")
-    prints, _ = written(prints.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "key"), "prints")
-    stars = components(similar(source, _sets))
+    prints = source.mapInArrow(lambda it: _signed(_shingled(it)), "doc_id long, h long, key long, n int, sig binary")
+    prints, _ = written(prints.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h", "key", "n", "sig"), "prints")
+    stars = components(similar(source, _sets, prints.select("key", "n", "sig")))
     found = prints.join(stars.hint("merge"), F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
     first = F.min(F.struct("none", "id", "h")).alias("x")
     kept, _ = written(found.groupBy("group").agg(first).select("x.*").distinct(), "kept")

@@ -184,3 +184,29 @@ def test_candidates_connect_every_similar_pair(spark):
     frame = spark.createDataFrame(list(enumerate(sets)), "key long, shingles array<long>")
     stars = {r.node: r.root for r in components(neardup.candidates(frame)).collect()}
     assert all(stars[i] == stars[i + 1] for i in range(0, len(sets), 2))
+
+
+def test_chance_meetings_make_no_groups(spark, monkeypatch):
+    """Unlike texts that share a passage don't come together, even where full marks let its shingles into all prefixes."""
+    rng = random.Random(4)
+    monkeypatch.setattr(neardup, "SLOTS", 8)
+    passage = [rng.getrandbits(62) for _ in range(40)]
+    sets = [sorted(passage + [rng.getrandbits(62) for _ in range(rng.choice((20, 60, 400)))]) for _ in range(200)]
+    sets.append(sorted(sets[0][:-1] + [rng.getrandbits(62)]))
+    frame = spark.createDataFrame(list(enumerate(sets)), "key long, shingles array<long>")
+    assert {tuple(sorted(r)) for r in neardup.candidates(frame).collect()} == {(0, 200)}
+
+
+def test_a_class_of_near_copies_is_not_moved_for_each_block(spark, monkeypatch):
+    """In a large group, only pairs outside its largest class meet again, and each of these does."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    large = spark.createDataFrame([(i, 0) for i in range(60)], "node long, root long")
+    star = lambda n: spark.createDataFrame([(0, i) for i in range(1, n)], "a long, b long")
+    assert neardup._by_blocks(large, star(60)).count() == 0
+    parts = {}
+    for r in neardup._by_blocks(large, star(50)).collect():
+        parts.setdefault(r.part, set()).add(r.key)
+    for i in range(60):
+        for j in range(max(50, i + 1), 60):
+            assert any({i, j} <= p for p in parts.values())
+    assert sum(map(len, parts.values())) < 60 * 60 / 4 / 2

@@ -210,3 +210,21 @@ def test_a_class_of_near_copies_is_not_moved_for_each_block(spark, monkeypatch):
         for j in range(max(50, i + 1), 60):
             assert any({i, j} <= p for p in parts.values())
     assert sum(map(len, parts.values())) < 60 * 60 / 4 / 2
+
+
+def test_the_stage_compares_simhash_prints():
+    """Signatures hold the wide SimHash of the set; pairs with J of 0.8 or more are never told apart by it, unlike ones are."""
+    text = " ".join(f"w{i}" for i in range(500))
+    assert neardup.signature(np.unique(neardup._hashes(text.encode(), 5)).view(np.int64))[:32] == neardup.simhash(text.encode(), 5, 4)
+    rng = np.random.default_rng(6)
+    for n in (1, 4, 5, 9, 40, 64, 300, 3000):
+        for _ in range(30):
+            a = rng.integers(0, 1 << 62, n)
+            gone = int(n / 9)
+            for b in (np.concatenate([a[gone:], rng.integers(0, 1 << 62, gone)]), a[: max(1, -(-4 * n // 5))], rng.integers(0, 1 << 62, n)):
+                x, y = (np.frombuffer(neardup.signature(v), np.uint64).reshape(1, -1) for v in (a, b))
+                shared = len(np.intersect1d(a, b))
+                if shared >= 0.8 * (len(a) + len(b) - shared):
+                    assert neardup.near(np.array([len(a)]), np.array([len(b)]), x, y)[0]
+                elif n > 4:
+                    assert not neardup.near(np.array([len(a)]), np.array([len(b)]), x, y)[0]

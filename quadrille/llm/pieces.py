@@ -123,6 +123,25 @@ class Cuts:
         data = np.insert(chars, cuts, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
         return [x.split(b" ") if x else [] for x in data.split(b"  ")] if texts else []
 
+    def coded(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """The same parts by number: the place of each text's first part and the end, the distinct parts, and each part's number among these."""
+        marked = [SPACE + t if t else "" for t in texts]
+        joined = "".join(marked).replace(" ", SPACE)
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))])
+        if not len(chars):
+            return np.zeros(len(starts), np.int64), [], np.zeros(0, np.int32)
+        code = self.code[chars]
+        begins = np.append(True, ~self.inside[self._slots(code[:-1], code[1:])])
+        begins[starts[starts < len(chars)]] = True
+        wide = 1 + (chars > 0x7F).view(np.uint8) + (chars > 0x7FF).view(np.uint8) + (chars > 0xFFFF).view(np.uint8)
+        at = np.flatnonzero(begins)
+        ends = np.cumsum(wide, dtype=np.int64)
+        offsets = np.append(ends[at] - wide[at], ends[-1]).astype(np.int32)
+        data = pa.py_buffer(joined.encode("utf-8", "surrogatepass"))
+        found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), data]).dictionary_encode()
+        return np.searchsorted(at, starts), found.dictionary.to_pylist(), found.indices.to_numpy()
+
 
 def _portions(sizes: list[int]):
     """Ranges of texts that are worked on at once, about ``AT_ONCE`` bytes each."""
@@ -429,6 +448,17 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
+def _own(bounds: np.ndarray, words: list[bytes], index: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct parts that are ``new``, by text, then in their order as bytes: text, and number of the part."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.array(sorted(np.flatnonzero(new).tolist(), key=words.__getitem__), np.int64)
+    rank = np.zeros(len(words), np.int64)
+    rank[order] = np.arange(len(order))
+    here = new[index]
+    row, place = np.divmod(np.unique(row[here] * len(words) + rank[index[here]]), max(1, len(words)))
+    return row, order[place]
+
+
 def _grade(n: Column) -> Column:
     """An order of magnitude of a count, an eighth of a power of two wide: a few hundred values whatever the counts."""
     return F.floor(F.log2(n) * 8).cast("int")
@@ -491,21 +521,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
         def portion(some):
             texts = [z.decompress(data.as_buffer()) if data.is_valid else b"" for data in some.column(1)]
-            lists = cuts.parts([t.decode("utf-8", "surrogatepass") for t in texts])
-            found = set(chain.from_iterable(lists))
-            new = found.difference(known)
-            of = {w: known[w] for w in found if w not in new}
-            ids = []
-            for words, own in zip(lists, some.column(2)):
-                if own.is_valid:  # the document's own words, in the order of their places
-                    of.update(zip(sorted(new.intersection(words)), (x["ids"] for x in sorted(own.as_py(), key=lambda x: x["place"]))))
-                ids.append(b"".join([of[w] for w in words]))
-            flat = np.frombuffer(b"".join(ids), kind).astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum([len(x) // kind_size for x in ids])]).astype(np.int32)
+            bounds, words, index = cuts.coded([t.decode("utf-8", "surrogatepass") for t in texts])
+            found = list(map(known.get, words))
+            _, part = _own(bounds, words, index, np.array([x is None for x in found], bool))
+            sent = some.column(2).flatten()  # the documents' own words, in the order of their places once sorted
+            sent_row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(some.column(2)), 0).to_numpy())
+            order = np.lexsort((sent.field("place").to_numpy(), sent_row))
+            for i, own in zip(part.tolist(), sent.field("ids").take(pa.array(order)).to_pylist()):
+                found[i] = own
+            sizes = np.array([len(x) // kind_size for x in found], np.int64)
+            begins, size = np.cumsum(sizes) - sizes, sizes[index]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            flat = np.frombuffer(b"".join(found), kind)[np.repeat(begins[index] - ends[:-1], size) + np.arange(ends[-1])].astype(np.int32)
+            offsets = ends[bounds].astype(np.int32)
             if speller.texts(flat) == b"".join([b" " + t for t in texts if t]):
                 trips = [True] * len(texts)
             else:
-                trips = [decode_ids(np.frombuffer(x, kind).tolist(), spelled).encode("utf-8", "surrogatepass") == t for x, t in zip(ids, texts)]
+                trips = [decode_ids(flat[a:b].tolist(), spelled).encode("utf-8", "surrogatepass") == t for a, b, t in zip(offsets, offsets[1:], texts)]
             return pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(trips, pa.bool_())], ["doc_id", "ids", "round_trip"])
 
         for batch in batches:

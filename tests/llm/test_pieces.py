@@ -1,6 +1,7 @@
 import dataclasses
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -128,3 +129,17 @@ def test_a_unigram_models_library(spark, tmp_path):
 def test_empty(spark):
     assert pieces.encode(cases.empty(spark), MODEL).count() == 0
     assert all(r.ids is not None for r in pieces.encode(cases.table(spark), MODEL).collect())
+
+
+def test_coded_parts_are_the_parts():
+    """Parts by number are those of ``parts``, also for empty, null and wide texts; a text's own parts come in their order."""
+    cuts = pieces.Cuts.of(MODEL)
+    for some in (texts(), [], ["", None], [None, "a b", "", "é😀 a b a b", ""]):
+        bounds, words, index = cuts.coded(some)
+        assert len(set(words)) == len(words)
+        assert [[words[i] for i in index[a:b]] for a, b in zip(bounds, bounds[1:])] == cuts.parts(some)
+    some = ["x y x z", "", "z y"]
+    bounds, words, index = cuts.coded(some)
+    row, part = pieces._own(bounds, words, index, np.array([w != words[index[1]] for w in words]))
+    own = [[words[i] for i in part[row == k]] for k in range(3)]
+    assert own == [sorted({w for w in p if w != words[index[1]]}) for p in cuts.parts(some)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import pickle
+import threading
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -375,8 +376,23 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["blob"])
 
 
-@lru_cache(1)
+#: Seconds after which a worker that got no further task here lets its words go, as others' tasks may come to it.
+IDLE = 15
+_idle: list[threading.Timer] = []
+
+
 def _held(shared) -> dict[bytes, bytes]:
+    """The words that a worker holds, until it has been ``IDLE``."""
+    while _idle:
+        _idle.pop().cancel()
+    _idle.append(threading.Timer(IDLE, _unpacked.cache_clear))
+    _idle[0].daemon = True
+    _idle[0].start()
+    return _unpacked(shared)
+
+
+@lru_cache(1)
+def _unpacked(shared) -> dict[bytes, bytes]:
     """The words that a worker holds, unpacked once for all its tasks."""
     found: dict[bytes, bytes] = {}
     for blob in shared.value.value:

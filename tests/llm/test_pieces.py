@@ -143,3 +143,19 @@ def test_coded_parts_are_the_parts():
     row, part = pieces._own(bounds, words, index, np.array([w != words[index[1]] for w in words]))
     own = [[words[i] for i in part[row == k]] for k in range(3)]
     assert own == [sorted({w for w in p if w != words[index[1]]}) for p in cuts.parts(some)]
+
+
+def test_workers_let_words_go(monkeypatch):
+    """A worker without a task here keeps no words."""
+    import pickle
+    import time
+    import types
+
+    import zstandard
+
+    monkeypatch.setattr(pieces, "IDLE", 0.2)
+    blob = zstandard.ZstdCompressor().compress(pickle.dumps({b"a": b"b"}))
+    shared = pieces._shared(types.SimpleNamespace(value=[blob]), 1)
+    assert pieces._held(shared) == {b"a": b"b"} and pieces._unpacked.cache_info().currsize == 1
+    time.sleep(0.6)
+    assert pieces._unpacked.cache_info().currsize == 0

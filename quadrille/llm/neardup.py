@@ -7,7 +7,7 @@ from itertools import chain, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, written
@@ -470,15 +470,44 @@ def compared(source: DataFrame, sets, dealt: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
-def _by_prints(large: DataFrame, signed: DataFrame) -> DataFrame:
-    """Parts (key, part) of two sets each: those of a group (node, root) that SimHash links, by the same lists of positional bytes as ``near_duplicates``."""
-    prints = large.join(signed.select(F.col("key").alias("node"), F.substring("sig", 1, 8).alias("fp")).dropDuplicates(["node"]), "node")
-    prints, _ = written(prints, "prints")
-    least = prints.groupBy("root", "fp").agg(F.min("node").alias("first"))
-    alike_prints = prints.join(least, ["root", "fp"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near_prints = links(prints.select("fp").distinct()).withColumnsRenamed({"a": "fp", "b": "other"})
-    near_prints = near_prints.join(least, "fp").select("root", F.col("first").alias("a"), F.col("other").alias("fp")).join(least, ["root", "fp"]).select("a", F.col("first").alias("b"))
-    return alike_prints.unionAll(near_prints).select(F.explode(F.array("a", "b")).alias("key"), F.xxhash64("a", "b").alias("part"))
+def print_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) of keys whose wide SimHash prints (``prints``: key, fp; keys distinct) differ in ``STAGE_BITS`` bits or fewer.
+
+    SimHash's inverted lists: every print is posted under the triples of positional bytes
+    of each of its lanes (``byte_groups``); in a list, the shared bytes of two prints are
+    tallied and their differing bits counted. Enough edges to connect what a list links.
+    A list longer than ``BLOCK`` is dealt as blocks, which every list cuts otherwise.
+    Prints that share no triple don't meet, and at J = 0.8 many pairs differ in more
+    bits: such pairs are left to ``candidates``.
+    """
+    groups = [[8 * lane + i for i in g] for lane in range(STAGE_LANES) for g in byte_groups()]
+    lists = F.array(*[F.xxhash64(F.lit(k), F.concat(*[F.substring("fp", i + 1, 1) for i in g])) for k, g in enumerate(groups)])
+    posted = prints.select("key", F.explode(lists).alias("list"))
+    posted = posted.withColumn("size", F.count("*").over(Window.partitionBy("list"))).where("size > 1")
+    block = F.pmod(F.xxhash64("list", "key"), F.ceil(F.col("size") / F.lit(BLOCK)))
+    part = F.when(F.col("size") <= BLOCK, F.col("list")).otherwise(F.xxhash64("list", block))
+    dealt = posted.select("key", part.alias("part")).join(prints.hint("merge"), "key").select("part", "key", "fp")
+
+    def run(batches):
+        for batch in _whole(batches):
+            part, key = (batch.column(i).to_numpy() for i in range(2))
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(key), -1)
+            begins = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            found = [(a + i, a + j) for a, b in zip(begins, np.append(begins[1:], len(part))) for i, j in forest(fps[a:b], STAGE_BITS, 3)]
+            pairs = np.unique(key[np.array(found, np.int64).reshape(-1, 2)], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return dealt.repartition("part").sortWithinPartitions("part", "key").mapInArrow(run, "a long, b long").distinct()
+
+
+def _by_prints(edges: DataFrame) -> DataFrame:
+    """Parts (key, part) of the groups that ``edges`` connect: whole ones, or blocks of those beyond ``BLOCK``, each with the group's smallest key."""
+    stars, _ = written(components(edges), "stars")
+    blocks = stars.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    members = stars.where("node <> root").join(blocks.hint("merge"), "root").select(F.col("node").alias("key"), F.xxhash64("root", own).alias("part"))
+    roots = blocks.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("own"))
+    return members.unionAll(roots.select(F.col("root").alias("key"), F.xxhash64("root", "own").alias("part")))
 
 
 def _by_blocks(large: DataFrame, found: DataFrame) -> DataFrame:
@@ -499,22 +528,27 @@ def similar(source: DataFrame, sets=iter, signed: DataFrame | None = None) -> Da
     """Edges (a, b) of keys that span the groups of sets (key, shingles) linked by J >= 0.8; every link counted on the sets.
 
     ``source`` (turned into sets as in ``candidates``) is read anew for each step rather than kept: it is larger than the texts.
-    A group of candidates comes together with its sets. In one larger than ``BLOCK``,
-    sets that SimHash links are compared first, two by two; then all that aren't in the
-    group's largest class with all of the group, as pairs of blocks. The members of that
-    class needn't meet again, so that a large group of near copies isn't moved once for each block.
+    SimHash comes first: sets whose prints its inverted lists link are compared, and those
+    with J >= 0.8 are classes. ``candidates`` then finds what SimHash may have missed: groups of
+    candidates that hold more than one class come together with their sets. Of one larger than
+    ``BLOCK``, all that aren't in the group's largest class meet all of the group, as pairs of blocks; the members of
+    that class needn't meet again, so that a large group of near copies isn't moved once for each block.
     """
     if signed is None:
         signed = source.mapInArrow(lambda it: _signed(sets(it)), "key long, n int, sig binary")
-    groups, _ = written(components(candidates(source, sets, signed)), "groups")
-    sized = groups.join(groups.groupBy("root").agg(F.count("*").alias("size")).hint("merge"), "root")
+    signed, _ = written(signed.dropDuplicates(["key"]), "signed")
+    parts, _ = written(_by_prints(print_links(signed.select("key", F.substring("sig", 1, 8 * STAGE_LANES).alias("fp")))), "parts")
+    first, _ = written(compared(source, sets, parts), "linked")
+    groups, _ = written(components(candidates(source, sets, signed).unionAll(first)), "groups")
+    classes = groups.join(components(first).withColumnRenamed("root", "class").hint("merge"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    unsettled = classes.groupBy("root").agg(F.count("*").alias("size"), F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
+    sized, _ = written(groups.join(unsettled.select("root", "size").hint("merge"), "root"), "unsettled")
+    if sized.isEmpty():
+        return first
     parts = sized.where(F.col("size") <= BLOCK).select(F.col("node").alias("key"), F.col("root").alias("part"))
     large = sized.where(F.col("size") > BLOCK).select("node", "root")
-    if large.isEmpty():
-        return compared(source, sets, parts)
-    parts, _ = written(parts.unionAll(_by_prints(large, signed)), "parts")
-    first, _ = written(compared(source, sets, parts), "linked")
-    parts, _ = written(_by_blocks(large, first), "parts")
+    if not large.isEmpty():
+        parts, _ = written(parts.unionAll(_by_blocks(large, first)), "parts")
     return first.unionAll(compared(source, sets, parts)).distinct()
 
 

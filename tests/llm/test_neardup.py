@@ -228,3 +228,68 @@ def test_the_stage_compares_simhash_prints():
                     assert neardup.near(np.array([len(a)]), np.array([len(b)]), x, y)[0]
                 elif n > 4:
                     assert not neardup.near(np.array([len(a)]), np.array([len(b)]), x, y)[0]
+
+
+def test_simhash_lists_come_first(spark, monkeypatch):
+    """The stage links near copies by SimHash's inverted lists alone, where the exact way finds no candidates."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join(base[:200] + ["other"] + base[201:])]
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(neardup, "candidates", lambda *_: none)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.one_of_each(docs).collect()) == list(range(0, 40, 2))
+
+
+def test_print_links_against_brute_force(spark, monkeypatch):
+    """Wide prints that share a triple of a lane and differ in 38 bits or fewer are connected, others aren't, also in lists dealt as blocks."""
+    rng = random.Random(22)
+    values = []
+    for _ in range(30):
+        x = rng.getrandbits(256)
+        values += [x, *(x ^ sum(1 << b for b in rng.sample(range(256), n)) for n in (0, 4, 20, 38, 39, 60))]
+    prints = [v.to_bytes(32, "big") for v in values]
+    groups = [[8 * lane + i for i in g] for lane in range(4) for g in neardup.byte_groups()]
+    triples = [{(*g, *(p[i] for i in g)) for g in groups} for p in prints]
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(values)):
+        for j in range(i):
+            if triples[i] & triples[j] and (values[i] ^ values[j]).bit_count() <= 38:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    frame = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "key long, fp binary")
+    stars = {r.node: r.root for r in components(neardup.print_links(frame)).collect()}
+    want = [find(i) for i in range(len(values))]
+    assert [stars.get(i, i) for i in range(len(values))] == want and 60 < len(set(want)) < 150
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    edges = neardup.print_links(frame).collect()
+    assert edges and all(want[r.a] == want[r.b] for r in edges)
+    assert all(len({r.key for r in rows}) <= 7 for rows in by_part(neardup._by_prints(neardup.print_links(frame)).collect()).values())
+
+
+def by_part(rows):
+    found = {}
+    for r in rows:
+        found.setdefault(r.part, []).append(r)
+    return found
+
+
+def test_prints_of_similar_texts_meet():
+    """Most pairs with J of 0.9 share a triple and differ in 38 bits or fewer; the others are the exact way's."""
+    rng = np.random.default_rng(23)
+    groups = [[8 * lane + i for i in g] for lane in range(4) for g in neardup.byte_groups()]
+    met = 0
+    for _ in range(200):
+        a = rng.integers(0, 1 << 62, 380)
+        b = np.concatenate([a[20:], rng.integers(0, 1 << 62, 20)])
+        x, y = (np.frombuffer(neardup.signature(v)[:32], np.uint8) for v in (a, b))
+        met += np.bitwise_count(x ^ y).sum() <= 38 and any((x[g] == y[g]).all() for g in groups)
+    assert met > 100

@@ -9,7 +9,6 @@ import threading
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +140,12 @@ class Cuts:
         offsets = np.append(ends[at] - wide[at], ends[-1]).astype(np.int32)
         data = pa.py_buffer(joined.encode("utf-8", "surrogatepass"))
         found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), data]).dictionary_encode()
-        return np.searchsorted(at, starts), found.dictionary.to_pylist(), found.indices.to_numpy()
+        return np.searchsorted(at, starts), _objects(found.dictionary), found.indices.to_numpy()
+
+
+def _objects(values) -> list:
+    """An Arrow array as a list, converted all at once: without a scalar for each value."""
+    return values.to_numpy(zero_copy_only=False).tolist()
 
 
 def _portions(sizes: list[int]):
@@ -174,7 +178,7 @@ def _in_words(batches, cuts: Cuts):
 
     for batch in batches:
         for _, _, texts in _texts(batch, 0):
-            counts.update(set(chain.from_iterable(cuts.parts(texts))))
+            counts.update(cuts.coded(texts)[1])
             if len(counts) > COUNTED:
                 yield from out()
                 counts.clear()
@@ -355,12 +359,18 @@ def dictionary(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches):
         ranks = shared.value
         for batch in batches:
-            packed = []
-            for w, ids, left in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if left:
+            data = batch.column(2).flatten().to_numpy().astype(kind).tobytes()
+            ends = (np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy())) * np.dtype(kind).itemsize).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            left = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
+            if len(left):
+                packed = _objects(packed)
+                for i in left.tolist():
+                    w = batch.column(0)[i].as_py()
                     ids = cheapest(w, ranks, longest, unknown_cost, byte_ids) if unigram else merge(w, ranks, byte_ids)
-                packed.append(np.array(ids, kind).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["word", "n", "ids"])
+                    packed[i] = np.array(ids, kind).tobytes()
+                packed = pa.array(packed, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["word", "n", "ids"])
 
     return folded.mapInArrow(run, "word string, n long, ids binary")
 
@@ -372,7 +382,7 @@ def _kind(vocabulary: Vocabulary) -> str:
 def _packed(batches):
     """A task's words and ids as one compressed list a batch."""
     for batch in batches:
-        data = zstandard.ZstdCompressor().compress(pickle.dumps(dict(zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()))))
+        data = zstandard.ZstdCompressor().compress(pickle.dumps(dict(zip(_objects(batch.column(0).cast(pa.binary())), _objects(batch.column(1))))))
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["blob"])
 
 
@@ -516,15 +526,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         known = _held(shared)
         for batch in batches:
             for a, b, texts in _texts(batch, 1):
-                keys, places, found = [], [], []
-                lists = cuts.parts(texts)
-                new = set(chain.from_iterable(lists)).difference(known)
-                for k, words in zip(batch.column(0).slice(a, b - a).to_pylist(), lists):
-                    own = sorted(new.intersection(words))
-                    keys += [k] * len(own)
-                    places += range(len(own))
-                    found += own
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(found, pa.string())], ["key", "place", "word"])
+                bounds, words, index = cuts.coded(texts)
+                row, part = _own(bounds, words, index, np.array([w not in known for w in words], bool))
+                keys = batch.column(0).slice(a, b - a).take(pa.array(row))
+                places = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(places), pa.array(words, pa.string()).take(pa.array(part))], ["key", "place", "word"])
 
     def pack(batches):
         for batch in batches:
@@ -543,7 +549,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             sent = some.column(2).flatten()  # the documents' own words, in the order of their places once sorted
             sent_row = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(some.column(2)), 0).to_numpy())
             order = np.lexsort((sent.field("place").to_numpy(), sent_row))
-            for i, own in zip(part.tolist(), sent.field("ids").take(pa.array(order)).to_pylist()):
+            for i, own in zip(part.tolist(), _objects(sent.field("ids").take(pa.array(order)))):
                 found[i] = own
             sizes = np.array([len(x) // kind_size for x in found], np.int64)
             begins, size = np.cumsum(sizes) - sizes, sizes[index]

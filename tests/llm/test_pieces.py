@@ -159,3 +159,17 @@ def test_workers_let_words_go(monkeypatch):
     assert pieces._held(shared) == {b"a": b"b"} and pieces._unpacked.cache_info().currsize == 1
     time.sleep(0.6)
     assert pieces._unpacked.cache_info().currsize == 0
+
+
+def test_words_are_counted_by_number(monkeypatch):
+    """Words are counted and sent on by their numbers; texts aren't split into lists of parts."""
+    import pyarrow as pa
+
+    cuts, some = pieces.Cuts.of(MODEL), texts()
+    want = {}
+    for w in {w for p in cuts.parts(some) for w in p}:
+        want[w.decode()] = 1
+    monkeypatch.setattr(pieces.Cuts, "parts", None)
+    batch = pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["text"])
+    found = [r for b in pieces._in_words([batch], cuts) for r in b.to_pylist()]
+    assert {r["word"]: r["n"] for r in found} == want and len(found) == len(want)

@@ -23,6 +23,8 @@ _HEAD = struct.Struct("<4sB3xQQ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces kept in a worker's cache, about 150 MB.
 CACHE = 700_000
+#: New pieces that the library encodes as one text: few, as a text's words cost more the longer the text is.
+LINES = 64
 #: Bytes of ids read at once.
 READ = 8 << 20
 
@@ -84,8 +86,8 @@ class Encoder:
     def _lines(self, parts: list[str]) -> list[bytes]:
         """Ids of each part, none of which has a line end, from one text with a part on each line."""
         out: list[bytes] = []
-        for at in range(0, len(parts), 2048):
-            some = parts[at : at + 2048]
+        for at in range(0, len(parts), LINES):
+            some = parts[at : at + LINES]
             ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, self.kind)
             cut = np.flatnonzero(ids == self.line).tolist()
             if len(cut) != len(some) - 1:

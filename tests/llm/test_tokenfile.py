@@ -38,6 +38,23 @@ def test_pieces_give_the_whole_texts_ids():
         assert np.frombuffer(ids, encoder.kind).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_new_pieces_go_to_the_library_in_short_texts():
+    """However many new pieces there are, a text made of them is short, and their ids are the library's."""
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("abcdeé1", k=rng.randint(1, 9))) for _ in range(3000))
+    encoder, plain, lines = tokenfile.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            lines.extend(t.count("\n") + 1 for t in texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Library()
+    (ids,) = encoder.encode([text])
+    assert np.frombuffer(ids, encoder.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sum(lines) > 1000 and max(lines) <= 64
+
+
 def text_hash(text):
     h = xxhash.xxh64_intdigest(text.encode(), 42)
     return h - (1 << 64) if h >> 63 else h

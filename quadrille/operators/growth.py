@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 
 from ..functions.text import character_ratios
 from .encode import boundaries
-from .kernels import per_sheet, squeezed
-from .tables import label_components
+from .kernels import numbers, per_batch, squeezed
+from .tables import component_runs
 
 #: Gaps (across, down) at which regions grow.
 GAPS = ((1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 1), (5, 1), (6, 1))
 #: Lines that stay of a run of empty ones: more than any gap, so that no region reaches over what is left out.
 APART = 1 + max(max(g) for g in GAPS)
+#: Places of the sheets that stand in one array; a sheet with more has one of its own.
+PLACES = 1 << 18
 #: Letters weigh this much against a text's length in the test of wording; a row's share is of at least this part of its places.
 WORDY, LEAST_FILLED = 2.5, 1 / 3
 #: Marks of cells that show borders and fills.
 EDGES = ("TopBorder", "BottomBorder", "LeftBorder", "RightBorder")
 
+#: What kernels get of each cell.
+MARKS = ("full", "marked", "header_like")
+
 Box = tuple[int, int, int, int]
 
 
@@ -66,14 +71,15 @@ class Sheet:
 
     def __post_init__(self):
         self.sums = np.pad(self.full.astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        self.any_marked, self.any_header = bool(self.marked.any()), bool(self.header.any())
 
     def count(self, r0: int, c0: int, r1: int, c1: int) -> int:
         h, w = self.full.shape
         r0, c0, r1, c1 = max(r0, 0), max(c0, 0), min(r1, h - 1), min(c1, w - 1)
         if r0 > r1 or c0 > c1:
             return 0
-        s = self.sums
-        return int(s[r1 + 1, c1 + 1] - s[r0, c1 + 1] - s[r1 + 1, c0] + s[r0, c0])
+        s = self.sums.item
+        return s(r1 + 1, c1 + 1) - s(r0, c1 + 1) - s(r1 + 1, c0) + s(r0, c0)
 
     def density(self, b: Box) -> float:
         return self.count(*b) / ((b[2] - b[0] + 1) * (b[3] - b[1] + 1))
@@ -87,16 +93,17 @@ class Sheet:
     def regions(self, across: int, down: int, borders: bool) -> list[Box]:
         """Boxes of cells that connect over gaps of less than ``across`` columns or ``down`` rows."""
         base = self.full | self.marked if borders else self.full
-        numbers = label_components(closed(base, across - 1) | closed(base.T, down - 1).T)
-        r, c = np.nonzero(numbers)
-        n = numbers[r, c]
-        order = np.argsort(n, kind="stable")
-        first = np.flatnonzero(np.diff(n[order], prepend=0))
-        if not len(first):
+        row, first, end, number = component_runs(closed(base, across - 1) | closed(base.T, down - 1).T)
+        if not len(row):
             return []
-        edges = [f.reduceat(x[order], first).tolist() for f, x in ((np.minimum, r), (np.minimum, c), (np.maximum, r), (np.maximum, c))]
-        boxes = (self.trimmed(b) for b in zip(*edges))
-        return [b for b in boxes if b and b[2] > b[0]]
+        order = np.argsort(number, kind="stable")
+        cuts = np.flatnonzero(np.diff(number[order], prepend=-1))
+        edges = [f.reduceat(x[order], cuts) for f, x in ((np.minimum, row), (np.minimum, first), (np.maximum, row), (np.maximum, end - 1))]
+        several = edges[2] > edges[0]
+        boxes = zip(*[x[several].tolist() for x in edges])
+        if not (borders and self.any_marked):
+            return list(boxes)  # every edge of a region of content has content
+        return [b for b in map(self.trimmed, boxes) if b and b[2] > b[0]]
 
     def header_share(self, r: int, c0: int, c1: int) -> float:
         """Header-like cells of a row over its filled ones, or a third of all if fewer are filled."""
@@ -105,7 +112,7 @@ class Sheet:
 
     def is_header(self, r: int, c0: int, c1: int) -> bool:
         """A row that is well filled with wording, unlike the row below it."""
-        if c0 == c1 or not 0 <= r < len(self.full):
+        if not self.any_header or c0 == c1 or not 0 <= r < len(self.full):
             return False
         filled = self.count(r, c0, r, c1) / (c1 - c0 + 1)
         below = self.header_share(r + 1, c0, c1) if r + 1 < len(self.full) else 0.0
@@ -140,36 +147,72 @@ class Sheet:
         """Boxes with a header first, then the more cells they hold, weighed by how full they are."""
         return (self.is_header(b[0], b[1], b[3]), self.count(*b) * self.density(b) ** 0.5, -b[0], -b[1])
 
-    def boxes(self) -> list[Box]:
+    def candidates(self) -> set[Box]:
         found: set[Box] = set()
+        seen: set[Box] = set()
         for across, down in GAPS:
-            for borders in (True, False) if self.marked.any() else (True,):
+            for borders in (True, False) if self.any_marked else (True,):
                 for b in self.regions(across, down, borders):
+                    if b in seen or b[3] == b[1]:  # refining only takes columns away
+                        continue
+                    seen.add(b)
                     better = self.refined(b)
                     found |= {x for x in (b, better) if x and self.acceptable(x)}
+        return found
+
+    def disjoint(self, found: set[Box] | list[Box]) -> list[Box]:
+        """The best of the boxes that overlap, from the top left."""
         kept: list[Box] = []
         for b in sorted(found, key=self.rank, reverse=True):
             if all(b[2] < k[0] or k[2] < b[0] or b[3] < k[1] or k[3] < b[1] for k in kept):
                 kept.append(b)
         return sorted(kept)
 
+    def boxes(self) -> list[Box]:
+        return self.disjoint(self.candidates())
+
+
+def stacked_boxes(ids: np.ndarray, cuts: np.ndarray, given: dict):
+    """Columns (id, idx, r0, c0, r1, c1) of the boxes of some sheets, as many at a time as have ``PLACES``."""
+    r, c, *marks = (numbers(given[n]) for n in ["r", "c", *MARKS])
+    lines = []
+    for a, b in zip(cuts, cuts[1:]):
+        lines.append((squeezed(r[a:b], APART), squeezed(c[a:b], APART)))
+    high, wide = (np.array([len(x[i][1]) for x in lines]) for i in (0, 1))
+    at = 0
+    while at < len(ids):
+        end = at + 1  # as many sheets as make no more than so many places
+        while end < len(ids) and (high[at : end + 1] + APART).sum() * wide[at : end + 1].max() <= PLACES:
+            end += 1
+        top = np.cumsum(high[at:end] + APART) - high[at:end] - APART
+        rows = np.concatenate([x[0][0] + t for x, t in zip(lines[at:end], top)])
+        columns = np.concatenate([x[1][0] for x in lines[at:end]])
+        grids = [np.zeros((int(top[-1] + high[end - 1]), int(wide[at:end].max())), bool) for _ in MARKS]
+        for g, m in zip(grids, marks):
+            g[rows, columns] = m[cuts[at] : cuts[end]]
+        sheet = Sheet(*grids)
+        found: dict[int, list[Box]] = {}
+        for b in sheet.candidates():
+            found.setdefault(int(np.searchsorted(top, b[0], "right")) - 1, []).append(b)
+        out = []
+        for k in sorted(found):
+            (_, own_r), (_, own_c) = lines[at + k]
+            for i, (r0, c0, r1, c1) in enumerate(sheet.disjoint(found[k])):
+                out.append((ids[at + k], i, own_r[r0 - top[k]], own_c[c0], own_r[r1 - top[k]], own_c[c1]))
+        if out:
+            yield list(np.array(out, np.int64).T)
+        at = end
+
 
 def detect_boxes(cells: DataFrame, attributes: str | None = None) -> DataFrame:
     """(sheet_id, idx, box): disjoint boxes of each sheet, from the top left.
 
-    A sheet is one kernel's; only cells that show something reach it, and long runs of
-    empty lines are cut first, so that arrays grow with the lines that have cells and
-    not with how far apart they stand. Every sheet goes through all gaps, whatever its size.
+    Only cells that show something reach a kernel, and long runs of empty lines are cut
+    first, so that arrays grow with the lines that have cells and not with how far apart
+    they stand. Every sheet goes through all gaps, whatever its size; small sheets stand
+    one below the other in one array, further apart than any gap.
     """
     x = cell_values(cells, attributes).where("value > 0").select("sheet_id", "r", "c", (F.col("content") > 0).alias("full"), (F.col("border") > 0).alias("marked"), "header_like")
 
-    def kernel(sheet: int, a: dict):
-        (r, rows), (c, columns) = squeezed(a["r"], APART), squeezed(a["c"], APART)
-        grids = [np.zeros((len(rows), len(columns)), bool) for _ in range(3)]
-        for g, n in zip(grids, ("full", "marked", "header_like")):
-            g[r, c] = a[n]
-        for i, (r0, c0, r1, c1) in enumerate(Sheet(*grids).boxes()):
-            yield (sheet, i, int(rows[r0]), int(columns[c0]), int(rows[r1]), int(columns[c1]))
-
-    found = per_sheet(x, ["r", "c", "full", "marked", "header_like"], kernel, "sheet_id long, idx int, r0 int, c0 int, r1 int, c1 int")
+    found = per_batch(x, ["r", "c", *MARKS], stacked_boxes, "sheet_id long, idx int, r0 int, c0 int, r1 int, c1 int")
     return found.select("sheet_id", "idx", F.struct("r0", "c0", "r1", "c1").alias("box"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .kernels import per_sheet, squeezed
+from .kernels import per_sheet, ranges, squeezed
 
 EMPTY, HEADER, DATA, TITLE, OTHER = range(5)
 
@@ -35,30 +35,44 @@ class Rules:
     sub_header: float = 0.5
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of n nodes is linked with by pairs (a, b), in whatever number of steps."""
+    least = np.arange(n)
+    while len(a):
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while not np.array_equal(further := least[least], least):
+            least = further
+        apart = least[a] != least[b]
+        a, b = a[apart], b[apart]
+    return least
+
+
+def component_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first column, end, number) of the runs of a mask's rows; numbers from 0 of their 4-connected components, by first run."""
+    h, w = mask.shape
+    wide = np.zeros((h, w + 2), np.int8)
+    wide[:, 1:-1] = mask
+    at = np.flatnonzero(np.diff(wide, axis=1))
+    start, end = at[::2], at[1::2]
+    row = start // (w + 1)
+    # runs of the row above that end after this one's start and start before its end
+    low, high = np.searchsorted(end, start - (w + 1), "right"), np.searchsorted(start, end - (w + 1), "left")
+    meets = np.maximum(high - low, 0)
+    least = joined(len(row), np.repeat(np.arange(len(row)), meets), ranges(low, meets))
+    number = np.cumsum(least == np.arange(len(row)))[least] - 1 if len(row) else least
+    return row, start - row * (w + 1), end - row * (w + 1), number
+
+
 def label_components(mask: np.ndarray) -> np.ndarray:
-    """Numbers from 1 of the 4-connected components of a mask, 0 elsewhere, by runs of each row and union-find."""
+    """Numbers from 1 of the 4-connected components of a mask, 0 elsewhere, by runs of each row that are joined all together."""
     h, w = mask.shape
-    out, root = np.zeros((h, w), np.int64), [0]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for r in range(h):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask[r].astype(np.int8), [0]])))
-        for a, b in zip(edges[::2], edges[1::2]):
-            root.append(len(root))
-            own = len(root) - 1
-            out[r, a:b] = own
-            if r:
-                for above in np.unique(out[r - 1, a:b]):
-                    if above and (x := find(int(above))) != (y := find(own)):
-                        root[max(x, y)] = min(x, y)
-    roots = np.array([find(i) for i in range(len(root))])
-    found = np.unique(roots)
-    return np.searchsorted(found, roots)[out]
+    row, first, end, number = component_runs(mask)
+    steps = np.zeros(h * (w + 1) + 1, np.int64)
+    steps[row * (w + 1) + first] = number + 1
+    steps[row * (w + 1) + end] = -number - 1
+    return np.cumsum(steps[:-1]).reshape(h, w + 1)[:, :w]
 
 
 def share(labels: np.ndarray, kind: int) -> float:
@@ -177,24 +191,32 @@ class Sheet:
 _TABLES = "sheet_id long, idx int, r0 int, c0 int, r1 int, c1 int, top_headers array<int>, left_headers array<int>, right_headers array<int>, sub_headers array<int>, fill double"
 
 
-def detect(labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def detect(labels: DataFrame, rules: Rules = Rules(), dealt: bool = False) -> DataFrame:
     """Tables of each sheet of labels (sheet_id, r, c, label), the order of ``idx`` being largest first."""
 
     names = [c.split()[0] for c in _TABLES.split(", ")][2:]
 
-    def kernel(sheet: int, x: dict):
+    def kernel(x: dict):
+        full = x["label"] != EMPTY
+        if not full.any():
+            return
+        x = {n: a[full] for n, a in x.items()}
         grid = np.zeros((x["r"].max() + 1, x["c"].max() + 1), np.int8)
         grid[x["r"], x["c"]] = x["label"]
         for i, t in enumerate(Sheet(grid, rules).tables()):
-            yield (sheet, i, *(t[n] for n in names))
+            yield (i, *(t[n] for n in names))
 
-    return per_sheet(labels.where(f"label <> {EMPTY}"), ["r", "c", "label"], kernel, _TABLES)
+    return per_sheet(labels, ["r", "c", "label"], kernel, _TABLES, dealt)
 
 
-def typed_regions(cells: DataFrame) -> DataFrame:
+def typed_regions(cells: DataFrame, dealt: bool = False) -> DataFrame:
     """(sheet_id, idx, type, r0, c0, r1, c1, n): 4-connected regions of one data type (cells with a null type are in none)."""
 
-    def kernel(sheet: int, x: dict):
+    def kernel(x: dict):
+        known = np.array([t is not None for t in x["type"].tolist()])
+        if not known.any():
+            return
+        x = {n: a[known] for n, a in x.items()}
         kinds, number = np.unique(x["type"].astype(str), return_inverse=True)
         (x_r, lines), (x_c, columns) = squeezed(x["r"], 1), squeezed(x["c"], 1)  # neighbours stay neighbours, and no others become so
         grid = np.full((len(lines), len(columns)), -1, np.int32)
@@ -211,7 +233,7 @@ def typed_regions(cells: DataFrame) -> DataFrame:
                 rows.append((int(r[some[0]]), int(c[some[0]]), str(kind), int(r[some].min()), int(c[some].min()), int(r[some].max()), int(c[some].max()), len(some)))
         rows.sort()
         for i, row in enumerate(rows):
-            yield (sheet, i, *row[2:])
+            yield (i, *row[2:])
 
     schema = "sheet_id long, idx int, type string, r0 int, c0 int, r1 int, c1 int, n int"
-    return per_sheet(cells.where("type is not null"), ["r", "c", "type"], kernel, schema)
+    return per_sheet(cells, ["r", "c", "type"], kernel, schema, dealt)

@@ -22,33 +22,48 @@ def from_matrix(spark: SparkSession, rows: list[list], sheet_id: int = 0) -> Dat
     return spark.createDataFrame([(sheet_id, r, c, None if c >= len(row) or row[c] is None else str(row[c])) for r, row in enumerate(rows) for c in range(width)], CELLS)
 
 
-def unpivot(table: DataFrame, sheet: Column, order: list[Column], columns: list[Column]) -> DataFrame:
-    """Cells of a table's groups: a sheet for each value of ``sheet``, rows in ``order``, one cell for each of ``columns`` (texts)."""
+def packed(table: DataFrame, sheet: Column, order: list[Column], columns: list[Column]) -> DataFrame:
+    """Rows of a table's groups with their cells in a list: (sheet_id, r, v), a sheet for each value of ``sheet``, rows in ``order``, ``columns`` texts."""
     rows = table.withColumn("_sheet", sheet)
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_sheet").orderBy(*order)) - 1)
-    return rows.select(F.col("_sheet").alias("sheet_id"), F.col("_r").cast("int").alias("r"), F.posexplode(F.array(*columns)).alias("c", "v"))
+    return rows.select(F.col("_sheet").alias("sheet_id"), F.col("_r").cast("int").alias("r"), F.array(*columns).alias("v"))
 
 
-def order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each order, a row for each of its lines.
+def unpivot(table: DataFrame, sheet: Column, order: list[Column], columns: list[Column]) -> DataFrame:
+    """Cells of a table's groups: a sheet for each value of ``sheet``, rows in ``order``, one cell for each of ``columns`` (texts)."""
+    return packed(table, sheet, order, columns).select("sheet_id", "r", F.posexplode("v").alias("c", "v"))
 
-    Lines are dealt by order before they become ten cells each, so what groups cells of
-    a sheet needs no other exchange.
-    """
-    lines = read(spark, sf_dir, "lineitem").repartition("l_orderkey")
+
+def order_texts() -> list[Column]:
+    """The cells of an order's line."""
     whole = lambda c, n: F.round(F.col(c) * n).cast("bigint").cast("string")
     texts = {c: F.col(c).cast("string") for c in ORDER_COLUMNS} | {"l_quantity": whole("l_quantity", 1), "l_extendedprice": whole("l_extendedprice", 100), "l_discount": whole("l_discount", 100), "l_tax": whole("l_tax", 100)}
     texts["l_shipdate"] = F.date_format("l_shipdate", "yyyy-MM-dd")
-    return unpivot(lines, F.col("l_orderkey"), [F.col(c) for c in ORDER_COLUMNS], [texts[c] for c in ORDER_COLUMNS])
+    return [texts[c] for c in ORDER_COLUMNS]
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sheet_id, r, v): a sheet for each order, a row for each of its lines with its cells in a list.
+
+    Lines are dealt by order before they become ten cells each, so what groups cells of
+    a sheet needs no other exchange; a sheet's rows stand together.
+    """
+    return packed(read(spark, sf_dir, "lineitem").repartition("l_orderkey"), F.col("l_orderkey"), [F.col(c) for c in ORDER_COLUMNS], order_texts())
+
+
+def order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of ``order_rows``."""
+    return order_rows(spark, sf_dir).select("sheet_id", "r", F.posexplode("v").alias("c", "v"))
 
 
 def event_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet for each user: rows are hours since the first one with an event, columns event types by name, values counts.
 
-    Only cells with events are rows of the result; all others are empty.
+    Only cells with events are rows of the result; all others are empty. Events are dealt
+    by user once, so what groups cells of a sheet needs no other exchange.
     """
     events = read(spark, sf_dir, "events").select("user_id", "event_type", F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(EVENT_START).cast("timestamp"))) / 3600).alias("hour"))
-    counts = events.groupBy("user_id", "event_type", "hour").agg(F.count("*").alias("n"))
+    counts = events.repartition("user_id").groupBy("user_id", "event_type", "hour").agg(F.count("*").alias("n"))
     types = events.select("event_type").distinct().select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1).alias("c"))
     first = F.min("hour").over(Window.partitionBy("user_id"))
     return counts.join(types, "event_type").select(F.col("user_id").alias("sheet_id"), (F.col("hour") - first).cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("n").cast("string").alias("v"))

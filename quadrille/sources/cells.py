@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 CELLS = "sheet_id long, r int, c int, v string"
 #: Columns of an order sheet, as text of whole numbers, codes and days.
 ORDER_COLUMNS = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+#: Places of a gap that are listed together.
+_STEP = 65536
 EVENT_START = "2024-01-01 00:00:00"
 
 
@@ -81,8 +83,20 @@ def shapes(cells: DataFrame) -> DataFrame:
 
 
 def dense(cells: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Every place of each sheet's grid with its columns, null where there is no cell."""
+    """Every place of each sheet's grid with its columns, null where there is no cell.
+
+    The places between a cell and the one before it are made beside the cell, so cells
+    are dealt by sheet and the grid isn't.
+    """
     sizes = shapes(cells) if sizes is None else sizes
-    grid = sizes.select("sheet_id", "n_rows", "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("r"))
-    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("c"))
-    return grid.join(cells, ["sheet_id", "r", "c"], "left")
+    rest = [n for n in cells.columns if n not in ("sheet_id", "r", "c")]
+    x = cells.join(sizes.select("sheet_id", "n_rows", "n_cols"), "sheet_id").where("r between 0 and n_rows - 1 and c between 0 and n_cols - 1")
+    x = x.select("sheet_id", "n_rows", "n_cols", (F.col("r").cast("long") * F.col("n_cols") + F.col("c")).alias("_at"), F.lit(False).alias("_end"), F.struct(*rest).alias("_cell"))
+    ends = sizes.select("sheet_id", "n_rows", "n_cols", (F.col("n_rows").cast("long") * F.col("n_cols")).alias("_at"), F.lit(True).alias("_end"), F.lit(None).cast(x.schema["_cell"].dataType).alias("_cell"))
+    x = x.unionByName(ends).withColumn("_from", F.coalesce(F.lag("_at").over(Window.partitionBy("sheet_id").orderBy("_at", "_end")), F.lit(-1)) + 1)
+    x = x.withColumn("_from", F.when(F.col("_end"), F.col("_from")).otherwise(F.least("_from", "_at"))).withColumn("_to", F.when(F.col("_end"), F.col("_at") - 1).otherwise(F.col("_at"))).where("_from <= _to")
+    x = x.withColumn("_from", F.explode(F.sequence("_from", "_to", F.lit(_STEP))))  # a long gap is never one list
+    x = x.withColumn("_k", F.explode(F.sequence("_from", F.least(F.col("_to"), F.col("_from") + (_STEP - 1)))))
+    own = (F.col("_k") == F.col("_at")) & ~F.col("_end")
+    place = [F.expr("cast(_k div n_cols as int)").alias("r"), (F.col("_k") % F.col("n_cols")).cast("int").alias("c")]
+    return x.select("sheet_id", *place, "n_rows", "n_cols", *[F.when(own, F.col("_cell")[n]).alias(n) for n in rest])

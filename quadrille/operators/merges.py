@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def merge_map(areas: DataFrame) -> DataFrame:
@@ -19,6 +20,17 @@ def with_anchor_values(cells: DataFrame, merged: DataFrame) -> DataFrame:
     return cells.join(merged, ["sheet_id", "r", "c"], "left_anti").select("sheet_id", "r", "c", "v").unionByName(covered)
 
 
+def shown(cells: DataFrame) -> DataFrame:
+    """(sheet_id, r, c, v): cells with the anchor (ar, ac) of the area they are in, else null; covered ones take their anchor's value.
+
+    Only covered cells are sorted, each area within its sheet; the others pass. A sheet's
+    cells stay where they are.
+    """
+    anchor = F.when((F.col("r") == F.col("ar")) & (F.col("c") == F.col("ac")), F.col("v"))
+    covered = cells.where("ar is not null").select("sheet_id", "r", "c", F.max(anchor).over(Window.partitionBy("sheet_id", "ar", "ac")).alias("v"))
+    return cells.where("ar is null").select("sheet_id", "r", "c", "v").unionByName(covered)
+
+
 def spans(merged: DataFrame, rows: DataFrame | None = None, columns: DataFrame | None = None) -> DataFrame:
     """(sheet_id, r, c, row_span, col_span) at each anchor; at its compressed place where maps are given, if kept."""
     out = merged.groupBy("sheet_id", F.col("ar").alias("r"), F.col("ac").alias("c")).agg((F.max("r") - F.min("r") + 1).alias("row_span"), (F.max("c") - F.min("c") + 1).alias("col_span"))

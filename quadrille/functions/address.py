@@ -22,7 +22,8 @@ def letters(index: Column) -> Column:
 
 def column_index(text: Column) -> Column:
     """Index of column letters in either case; null if other characters occur or there are none."""
-    value = F.aggregate(F.split(F.upper(text), ""), F.lit(0).cast("long"), lambda n, c: F.when(c == "", n).otherwise(n * 26 + F.ascii(c) - 64))
+    seven = F.lpad(F.upper(text), 7, "@")  # the sign before A, which counts as nothing
+    value = sum((F.ascii(F.substr(seven, F.lit(k + 1), F.lit(1))).cast("long") - 64) * 26 ** (6 - k) for k in range(7))
     return F.when(text.rlike("^[A-Za-z]{1,7}$"), value - 1)
 
 
@@ -56,7 +57,7 @@ def parse_range(text: Column, mode: str = "tolerant") -> Column:
     box = lambda r0, c0, r1, c1: F.struct(r0.alias("r0"), c0.alias("c0"), r1.alias("r1"), c1.alias("c1"))
     # each corner is read once, by a lambda's variable, however many fields are taken from it
     cut = F.transform(F.split(t, ":", -1), lambda p: F.struct(F.regexp_extract(p, _ADDRESS, 1).alias("l"), p.alias("p")))
-    corners = F.transform(cut, lambda x: F.struct(F.try_subtract(F.substr(x["p"], F.length(x["l"]) + 1).try_cast("int"), F.lit(1)).alias("r"), column_index(x["l"]).cast("int").alias("c"), (x["l"] != "").alias("ok")))
+    corners = F.transform(cut, lambda x: F.struct(F.when(x["l"] != "", F.try_subtract(F.substr(x["p"], F.length(x["l"]) + 1).try_cast("int"), F.lit(1))).alias("r"), column_index(x["l"]).cast("int").alias("c"), (x["l"] != "").alias("ok")))
 
     def of(k: Column) -> Column:
         a, b = F.get(k, F.lit(0)), F.get(k, F.lit(1))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 Kernel = Callable[[dict[str, np.ndarray]], Iterable[tuple]]
 #: Gets ids and first rows of sheets (and the end), and their columns; gives columns of the result.
@@ -49,11 +49,16 @@ def _objects(column: pa.Array) -> np.ndarray:
 
 
 def _unpacked(table: pa.Table, packed: str) -> pa.Table:
-    """A row for each value of the lists ``packed``, its place in the list as c."""
+    """A row for each value of the lists ``packed``, its place in the list as c; fields of structs become columns."""
     lists = table.column(packed).combine_chunks()
     counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
     at = pa.array(np.repeat(np.arange(len(lists)), counts))
-    return table.drop_columns([packed]).take(at).append_column("c", pa.array(ranges(np.zeros(len(lists), np.int64), counts), pa.int32())).append_column(packed, lists.flatten())
+    table = table.drop_columns([packed]).take(at).append_column("c", pa.array(ranges(np.zeros(len(lists), np.int64), counts), pa.int32()))
+    values = lists.flatten()
+    fields = zip([f.name for f in values.type], values.flatten()) if pa.types.is_struct(values.type) else [(packed, values)]
+    for name, column in fields:
+        table = table.append_column(name, column)
+    return table
 
 
 def per_batch(cells: DataFrame, columns: list[str], kernel: Batches, schema: str, dealt: bool = False) -> DataFrame:
@@ -65,8 +70,8 @@ def per_batch(cells: DataFrame, columns: list[str], kernel: Batches, schema: str
     c: a row for each row of a sheet, with the values of its columns in a list, which
     takes a fraction of the time on the way to Python.
     """
-    packed = columns[-1] if "c" in columns and "c" not in cells.columns else None
-    sent = [c for c in columns if not packed or c != "c"]
+    packed = next(f.name for f in cells.schema if isinstance(f.dataType, ArrayType)) if "c" in columns and "c" not in cells.columns else None
+    sent = [*(c for c in columns if c == "r"), packed] if packed else columns
     cells = cells.select("sheet_id", *sent).where(F.col("sheet_id").isNotNull())
     places = [c for c in ("r", "c") if c in columns]
     types = to_arrow_schema(StructType.fromDDL(schema))
